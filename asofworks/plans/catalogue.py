@@ -1,4 +1,6 @@
-"""All queries over the driver's tables, with their SQL; filled from the modules of this package."""
+"""All queries over the driver's tables, with their SQL."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import graph, quality, search, series  # noqa: F401  they register their queries
+from .base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
