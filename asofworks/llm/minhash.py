@@ -6,10 +6,12 @@ the shingles, the second is shifted circularly by one place for each coordinate
 contiguous slice of the doubled second permutation.
 
 Documents with equal shingle sets are one class from the start. Within a band's
-bucket no pairs are listed: every class is first compared with the bucket's
-smallest; what those links already join needs no comparison, and only classes of a
-bucket that are still apart are compared with each other. All links are confirmed on
-full shingle sets, so the components are those of all candidate pairs.
+bucket no pairs are listed. First every class is compared with one centre of the bucket,
+the class with the most company over all its buckets; what those links join needs no
+comparison. Classes of a bucket that are still apart (far copies in a large group) meet
+through an exact prefix filter: two sets of the wanted similarity must share one of the
+rarest shingles of each, and far copies differ in just those. All links are confirmed on
+full shingle sets.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from .components import connected_components
 WORDS, PERCENT = 3, 85
 #: A pair at the threshold shares no band with probability (1 - 0.85**ROWS)**BANDS, below 3e-7.
 BANDS, ROWS = 32, 6
+#: Places of the table of shingle counts that orders shingles by rarity (broadcast, two megabytes).
+COUNTERS = 1 << 18
 UNIVERSE, SEED = 1 << 21, 20240601
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -122,21 +126,59 @@ def _sets(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
     return arrow_map(own, make, "id long, grams array<long>")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The pairs ``(u, v)`` whose full shingle sets have a Jaccard similarity of at least ``percent`` in a hundred, settled."""
-    pairs = settle(pairs, "pairs")
-    sets = settle(_sets(docs, pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), words), "sets")
+def verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(u, v)`` whose sets have a Jaccard similarity of at least ``percent`` in a hundred, settled."""
+    n = sets.select("id", F.size("grams").alias("n"))
+    sized = pairs.join(n.select(F.col("id").alias("u"), F.col("n").alias("nu")), "u").join(n.select(F.col("id").alias("v"), F.col("n").alias("nv")), "v")
+    sized = settle(sized.where(f"100L * least(nu, nv) >= {percent}L * greatest(nu, nv)").select("u", "v"), "pairs")
     one = sets.select(F.col("id").alias("u"), F.col("grams").alias("a"))
     two = sets.select(F.col("id").alias("v"), F.col("grams").alias("b"))
-    # a pair takes u's set along only if the sizes allow the similarity
-    n = sets.select("id", F.size("grams").alias("n"))
-    sized = pairs.join(n.select(F.col("id").alias("u"), F.col("n").alias("nu")), "u").join(n.select(F.col("id").alias("v"), F.col("n").alias("nv")), "v").where(f"100L * least(nu, nv) >= {percent}L * greatest(nu, nv)").select("u", "v")
     both = sized.join(one, "u").join(two, "v").select("u", "v", (F.size("a") + F.size("b")).alias("total"), F.size(F.array_intersect("a", "b")).alias("shared"))
     links = settle(both.where(f"100L * shared >= {percent}L * (total - shared)").select("u", "v").distinct(), "verified")
-    discard(pairs, sets)
+    discard(sized)
     return links
 
 
+def _commonness(sets: DataFrame) -> np.ndarray:
+    """Counts of shingles folded to COUNTERS places; only an order is taken from them, so folding cannot lose a pair."""
+
+    def run(batches):
+        n = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            n += np.bincount(column(batch, "grams").flatten().to_numpy() & (COUNTERS - 1), minlength=COUNTERS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["place", "n"])
+
+    out = np.zeros(COUNTERS, np.int64)
+    for r in sets.select("grams").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r.place] = r.n
+    return out
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """``(id, n, scale, gram)``: the rarest shingles of each set, one more than a similar set may lack; scale is the size's step on a scale on which similar sizes are neighbours."""
+    sent = sets.sparkSession.sparkContext.broadcast(_commonness(sets))
+
+    def make():
+        common = sent.value
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rare = []
+            for grams in column(batch, "grams"):
+                g = grams.values.to_numpy()
+                order = np.lexsort((g, common[g & (COUNTERS - 1)]))
+                rare.append(g[order[: len(g) + (-percent * len(g)) // 100 + 1]])
+            sizes = [len(g) for g in column(batch, "grams")]
+            ends = np.cumsum([0, *map(len, rare)], dtype=np.int32)
+            scale = np.floor(np.log(sizes) / np.log(100 / percent) + 1e-9).astype(np.int64)
+            return pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(sizes, pa.int64()), pa.array(scale), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rare)))], names=["id", "n", "scale", "rare"])
+
+        return work
+
+    found = arrow_map(sets.select("id", "grams"), make, "id long, n long, scale long, rare array<long>")
+    return found.select("id", "n", "scale", F.explode("rare").alias("gram"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """All rows of ``docs`` as ``(doc_id, c1, c2, n_shingles, component_id, kept)``.
 
@@ -146,30 +188,37 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     without doc_id links with nothing: its component_id is null and it is kept. Extra
     columns are not read.
     """
+    if not 50 <= percent < 100:
+        raise ValueError("percent must be from 50 to 99")
     table = settle(sketch(docs, words, bands, rows), "sketch")
     there = table.where("n_shingles > 0 and doc_id is not null")
     classes = settle(there.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")), "classes")
     firsts = there.join(classes.withColumnRenamed("rep", "doc_id"), ["c1", "c2", "doc_id"]).select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
-    spread = firsts.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("key", "low")
-    held = settle(firsts.join(spread, "key").select("key", "rep", "low"), "buckets")
-    stars = held.where("rep <> low").select(F.col("low").alias("u"), F.col("rep").alias("v")).distinct()
-    links = verify(docs, stars, words, percent)
-    # copies of one doc_id with different sets are one node; their classes link by name
+    spread = firsts.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("key")
+    held = settle(firsts.join(spread, "key"), "buckets")
+    sizes = held.groupBy("key").agg(F.count("*").alias("n"))
+    company = settle(held.join(sizes, "key").groupBy("rep").agg(F.sum("n").alias("company")), "company")
+    centres = held.join(company, "rep").groupBy("key").agg(F.max(F.struct("company", (-F.col("rep")).alias("r"))).alias("c")).select("key", (-F.col("c.r")).alias("centre"))
+    stars = held.join(centres, "key").where("rep <> centre").select(F.least("rep", "centre").alias("u"), F.greatest("rep", "centre").alias("v")).distinct()
+    stars = settle(stars, "stars")
+    sets = settle(_sets(docs, company.select(F.col("rep").alias("id")), words), "sets")
+    links = verify(sets, stars, percent)
     parts = settle(connected_components(links), "parts")
-    named = held.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "low", F.coalesce("component", "rep").alias("part"))
-    mixed = named.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
-    apart = settle(named.join(mixed, "key", "left_semi"), "apart")
-    main = apart.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
-    minor = apart.join(main, "key").where("part <> main").select("key", F.col("rep").alias("a"), F.col("part").alias("pa"))
-    rest = minor.join(apart.select("key", F.col("rep").alias("b"), F.col("part").alias("pb")), "key").where("pa <> pb and a <> b")
-    rest = rest.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-    rest = rest.join(apart.where("rep <> low").select(F.col("low").alias("u"), F.col("rep").alias("v")).distinct(), ["u", "v"], "left_anti")
-    more = verify(docs, rest, words, percent)
+    named = settle(held.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part")), "named")
+    counts = named.groupBy("key", "part").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("key").agg(F.max(F.struct("n", "part")).alias("m"), F.count("*").alias("k")).where("k > 1").select("key", F.col("m.part").alias("main"))
+    # a class is minor if it is outside the largest part of some bucket; a pair that is still apart has a minor side
+    apart = settle(named.join(mixed, "key").groupBy(F.col("rep").alias("id"), "part").agg(F.max(F.col("part") != F.col("main")).alias("minor")), "apart")
+    rare = settle(_prefixes(sets.join(apart.select("id"), "id", "left_semi"), percent).join(apart, "id"), "prefixes")
+    near = rare.where("minor").select("gram", F.explode(F.array(F.col("scale") - 1, F.col("scale"), F.col("scale") + 1)).alias("scale"), F.col("id").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"))
+    met = near.join(rare.select("gram", "scale", F.col("id").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb")), ["gram", "scale"]).where(f"pa <> pb and 100L * least(na, nb) >= {percent}L * greatest(na, nb)")
+    rest = met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
+    more = verify(sets, rest, percent)
     joined = connected_components(parts.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).union(more).union(_same_id(classes, there)))
     final = settle(joined, "components")
-    discard(held, links, parts, apart, more)
-    named = classes.join(final, F.col("rep") == F.col("node"), "left").select("c1", "c2", F.coalesce("component", "rep").alias("part"))
-    out = table.drop("bands").join(named, ["c1", "c2"], "left")
+    discard(held, company, stars, sets, links, parts, named, apart, rare, more)
+    kept = classes.join(final, F.col("rep") == F.col("node"), "left").select("c1", "c2", F.coalesce("component", "rep").alias("part"))
+    out = table.drop("bands").join(kept, ["c1", "c2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("part")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "c1", "c2", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
