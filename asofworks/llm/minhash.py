@@ -17,6 +17,8 @@ full shingle sets.
 from __future__ import annotations
 
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -156,7 +158,7 @@ def _commonness(sets: DataFrame) -> np.ndarray:
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """``(id, n, scale, gram)``: the rarest shingles of each set, one more than a similar set may lack; scale is the size's step on a scale on which similar sizes are neighbours."""
+    """``(id, n, pos, gram)``: the rarest shingles of each set in order, one more than a similar set may lack."""
     sent = sets.sparkSession.sparkContext.broadcast(_commonness(sets))
 
     def make():
@@ -170,13 +172,34 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
                 rare.append(g[order[: len(g) + (-percent * len(g)) // 100 + 1]])
             sizes = [len(g) for g in column(batch, "grams")]
             ends = np.cumsum([0, *map(len, rare)], dtype=np.int32)
-            scale = np.floor(np.log(sizes) / np.log(100 / percent) + 1e-9).astype(np.int64)
-            return pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(sizes, pa.int64()), pa.array(scale), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rare)))], names=["id", "n", "scale", "rare"])
+            return pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rare)))], names=["id", "n", "rare"])
 
         return work
 
-    found = arrow_map(sets.select("id", "grams"), make, "id long, n long, scale long, rare array<long>")
-    return found.select("id", "n", "scale", F.explode("rare").alias("gram"))
+    found = arrow_map(sets.select("id", "grams"), make, "id long, n long, rare array<long>")
+    return found.select("id", "n", F.posexplode("rare").alias("pos", "gram"))
+
+
+def _step(size, nudge: float = 1e-9):
+    """The size's step on a scale of one in a hundred."""
+    return F.floor(F.log(size) / math.log(1.01) + nudge)
+
+
+def _meetings(rare: DataFrame, percent: int) -> DataFrame:
+    """Pairs of ``rare(id, part, minor, n, pos, gram)``, one side minor, parts different, that share a rare shingle and may still be similar.
+
+    If the shingle is the first that both share, they share at most what stands from it on in
+    either order. A true pair passes at its first shared shingle; and a minor set whose own
+    rare shingles come before a common one is sent to no size of which it could share enough.
+    """
+    least = F.col("n") * (percent / 100)
+    most = (F.col("n") - F.col("pos")) * ((100 + percent) / percent) - F.col("n")
+    sent = rare.where("minor").withColumn("most", most).where(F.col("most") >= least - 1e-6)
+    near = sent.select("gram", F.explode(F.sequence(_step(least, -1e-6), _step(F.greatest("most", least), 1e-6))).alias("step"), F.col("id").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"), F.col("pos").alias("oa"))
+    there = rare.select("gram", _step(F.col("n")).alias("step"), F.col("id").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"), F.col("pos").alias("ob"))
+    enough = f"{100 + percent}L * least(na - oa, nb - ob) >= {percent}L * (na + nb)"
+    met = near.join(there, ["gram", "step"]).where(f"pa <> pb and {enough}")
+    return met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -210,9 +233,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     # a class is minor if it is outside the largest part of some bucket; a pair that is still apart has a minor side
     apart = settle(named.join(mixed, "key").groupBy(F.col("rep").alias("id"), "part").agg(F.max(F.col("part") != F.col("main")).alias("minor")), "apart")
     rare = settle(_prefixes(sets.join(apart.select("id"), "id", "left_semi"), percent).join(apart, "id"), "prefixes")
-    near = rare.where("minor").select("gram", F.explode(F.array(F.col("scale") - 1, F.col("scale"), F.col("scale") + 1)).alias("scale"), F.col("id").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"))
-    met = near.join(rare.select("gram", "scale", F.col("id").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb")), ["gram", "scale"]).where(f"pa <> pb and 100L * least(na, nb) >= {percent}L * greatest(na, nb)")
-    rest = met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
+    rest = _meetings(rare, percent).join(stars, ["u", "v"], "left_anti")
     more = verify(sets, rest, percent)
     joined = connected_components(parts.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).union(more).union(_same_id(classes, there)))
     final = settle(joined, "components")
