@@ -47,7 +47,7 @@ def html_to_text(c: Column) -> Column:
     x = F.regexp_replace(x, r"<[^>]*>", " ")
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         x = F.replace(x, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(F.regexp_replace(x, r"[ \t\r\f]+", " "), r"\s*\n\s*", "\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"[ \t\r\f]+", " "), r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")
 
 
 def paragraphs(c: Column, pattern: str = r"\n\s*\n") -> Column:
