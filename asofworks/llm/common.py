@@ -23,6 +23,17 @@ ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
 
+_held: dict = {}
+
+
+def held(key: tuple, make: Callable[[], object]):
+    """A worker's compiled tables, kept from task to task; those of one operator at a time, so a worker that serves many stays small."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 _shipped: set[str] = set()
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, texts
+from .common import arrow_map, held, texts
 
 WINDOW = 10
 #: Pattern characters in one automaton; about 100 bytes of worker memory each.
@@ -25,8 +25,6 @@ AUTOMATON_CHARS = 2_000_000
 #: Bytes of UTF-8 that are part of words: 0-9, a-z (after lower-casing A-Z) and all non-ASCII; the rest become spaces.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-_built: dict[str, ahocorasick.Automaton] = {}
-
 
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(WORD_BYTES).split()
@@ -57,14 +55,15 @@ def _patterns(benchmark: DataFrame, width: int) -> list[list[tuple[str, tuple[st
 
 def _automaton(patterns: list) -> ahocorasick.Automaton:
     mark = hashlib.sha256(repr(patterns).encode()).hexdigest()
-    if mark not in _built:
-        _built.clear()
+
+    def build() -> ahocorasick.Automaton:
         a = ahocorasick.Automaton()
         for p, ids in patterns:
             a.add_word(p, (p.count(" ") - 1, len(p), ids))
         a.make_automaton()
-        _built[mark] = a
-    return _built[mark]
+        return a
+
+    return held(("automaton", mark), build)
 
 
 def _merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:

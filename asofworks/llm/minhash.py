@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, arrow_map, column, discard, settle, texts
+from .common import ASCII_LOWER, arrow_map, column, discard, held, settle, texts
 from .components import connected_components
 
 WORDS, PERCENT = 3, 85
@@ -83,13 +83,8 @@ class CirculantMinHash:
         return h.view(np.int64)
 
 
-_hashers: dict[tuple, CirculantMinHash] = {}
-
-
 def _hasher(*key) -> CirculantMinHash:
-    if key not in _hashers:
-        _hashers[key] = CirculantMinHash(*key)
-    return _hashers[key]
+    return held(("minhash", *key), lambda: CirculantMinHash(*key))
 
 
 def sketch(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, texts
+from .common import arrow_map, held, texts
 
 META = "▁"
 #: Words whose path one worker keeps.
-CACHE = 500_000
+CACHE = 150_000
 #: Arcs of the grammar that one worker keeps.
-AGREES = 400_000
+AGREES = 150_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -209,16 +209,9 @@ class PieceTransducer:
 
 WORD = re.compile(" *[^ ]+| +")
 
-_compiled: dict[str, PieceTransducer] = {}
-
-
 def transducer(data: bytes) -> PieceTransducer:
     """One transducer, with its kept paths, for all tasks of a worker."""
-    mark = hashlib.sha256(data).hexdigest()
-    if mark not in _compiled:
-        _compiled.clear()
-        _compiled[mark] = PieceTransducer(data)
-    return _compiled[mark]
+    return held(("pieces", hashlib.sha256(data).hexdigest()), lambda: PieceTransducer(data))
 
 
 def encode(docs: DataFrame, path: str, ids: str | None = "piece_ids") -> DataFrame:

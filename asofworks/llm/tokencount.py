@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, texts
+from .common import arrow_map, held, texts
 
 #: Pre-tokens in the broadcast table, documents it is drawn from (and bytes of one), entries of a worker's cache.
 FREQUENT, SAMPLE_DOCS, SAMPLE_BYTES, CACHE = 60_000, 2_000, 65_536, 300_000
@@ -119,16 +119,9 @@ def count_tokens(docs: DataFrame, path: str, frequent: dict[str, int] | None = N
     return arrow_map(kept, make, schema)
 
 
-_workers: dict[tuple[str, int], Counter] = {}
-
-
 def _counter(path: str, sent) -> Counter:
     """One counter for all tasks of a worker, so its cache outlives a task."""
-    key = (path, id(sent.value))
-    if key not in _workers:
-        _workers.clear()
-        _workers[key] = Counter(path, sent.value)
-    return _workers[key]
+    return held(("tokens", path, id(sent.value)), lambda: Counter(path, sent.value))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
