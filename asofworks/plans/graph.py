@@ -89,7 +89,7 @@ def node_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 both("subgraph_page", f"WITH e AS ({_SUPPLY}), d AS (SELECT dst, COUNT(*) AS degree FROM e GROUP BY dst) SELECT e.dst AS part, d.degree FROM e JOIN d ON e.dst = d.dst WHERE e.src = 7 ORDER BY d.degree DESC, e.dst LIMIT 20 OFFSET 10")
-both("node_search", f"WITH e AS ({_SUPPLY}), d AS (SELECT dst, COUNT(*) AS degree FROM e GROUP BY dst) SELECT p_partkey AS node_id, p_name AS name, coalesce(degree, 0) AS degree FROM part LEFT JOIN d ON dst = p_partkey WHERE lower(p_name) LIKE '%1%' ORDER BY degree DESC, node_id LIMIT 25")
+both("node_search", f"WITH e AS ({_SUPPLY}), d AS (SELECT dst, COUNT(*) AS degree FROM e GROUP BY dst) SELECT p_partkey AS node_id, p_name AS name, coalesce(degree, 0) AS degree FROM part LEFT JOIN d ON dst = p_partkey WHERE lower(p_name) LIKE '%a%' OR lower(p_brand) LIKE '%1%' ORDER BY degree DESC, node_id LIMIT 25")
 both("priority_listing", "SELECT n_name AS name, COUNT(s_suppkey) AS degree FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name ORDER BY CASE n_name WHEN 'NATION_3' THEN 0 WHEN 'NATION_1' THEN 1 ELSE 2 END, degree DESC, name LIMIT 15")
 both("edge_provenance_labels", """SELECT l_suppkey, l_linenumber, l_orderkey, CASE WHEN l_returnflag IS NULL THEN 'missing_provenance' WHEN s_nationkey = c_nationkey THEN 'verified_issuer' WHEN l_returnflag = 'R' THEN 'unsupported_cross_company' ELSE 'verified_cross_company' END AS status
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey""")
