@@ -86,12 +86,17 @@ class Counter:
 
 
 def frequent_lengths(docs: DataFrame, path: str, k: int = FREQUENT, sample: int = SAMPLE_DOCS, max_bytes: int = SAMPLE_BYTES) -> dict[str, int]:
-    """The first tier: lengths of the most frequent pre-tokens of a bounded sample (smallest hashes of doc_id)."""
+    """The first tier: lengths of the most frequent pre-tokens of a bounded sample.
+
+    Each document of at most ``max_bytes`` is drawn with the same chance by a hash of its text,
+    ``sample`` of them expected, so no task gathers more than it drew itself.
+    """
     from collections import Counter as Bag
 
     counter, bag = Counter(path), Bag()
-    rows = docs.where(F.octet_length("text") <= max_bytes).select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(sample)
-    for r in rows.toLocalIterator():
+    share = min(1.0, sample / max(1, docs.count()))
+    drawn = docs.where(F.octet_length("text") <= max_bytes).where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
+    for r in drawn.select("text").toLocalIterator():
         bag.update(counter.split(r.text))
     return {t: counter.lengths[t] for t, _ in sorted(bag.items(), key=lambda x: (-x[1], x[0]))[:k]}
 
