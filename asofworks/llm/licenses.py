@@ -1,8 +1,7 @@
 """Licence scans: TF-IDF cosine of text lines to licence templates, and inheritance along directories.
 
-Everything on the path is DataFrame operations. A line is compared with a template
-only if it holds one of the template's lead terms; without its lead terms a template
-cannot reach the threshold, so no match is lost. Inverse document frequencies come from
+Everything on the path is DataFrame operations. A line is weighed only if the terms it
+holds could reach the threshold for some template, so no match is lost. Inverse document frequencies come from
 the templates (a fixed table); a term they lack has the highest.
 
 A file's own licence is that of its best line. Files named like a licence file also
@@ -16,10 +15,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import settle
+
 #: Identifiers and the statements that name the licence in headers and licence files.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -57,12 +59,12 @@ def vectors() -> list[tuple[str, str, float, float]]:
 
 
 def lead_terms(threshold: float = THRESHOLD) -> list[str]:
-    """For each template its heaviest terms, as many as leave the rest a norm below the threshold."""
+    """For each template its longest terms (prose seldom holds them), as many as leave the rest a norm below the threshold."""
     lead = set()
     for name in TEMPLATES:
         rest = 1.0
-        for _, t, w, _ in sorted((x for x in vectors() if x[0] == name), key=lambda x: (-x[2], x[1])):
-            if math.sqrt(max(rest, 0)) < threshold:
+        for _, t, w, _ in sorted((x for x in vectors() if x[0] == name), key=lambda x: (-len(x[1]), -x[2], x[1])):
+            if math.sqrt(max(rest, 0)) < threshold - 1e-6:  # cosines are rounded to six digits
                 break
             lead.add(t)
             rest -= w * w
@@ -74,23 +76,52 @@ def _lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def _weights(values: dict[str, float]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in sorted(values.items()) for x in pair])
+
+
+def _may_match(line: str, threshold: float) -> Column:
+    """Whether a line can reach the threshold: it holds a lead term, and the cosine is at most the norm of a template's terms that the line holds."""
+    holds = lambda t: F.contains(F.col(line), F.lit(t))
+    mass: dict[str, Column] = {}
+    for name, t, w, _ in vectors():
+        part = F.when(holds(t), F.lit(w * w)).otherwise(F.lit(0.0))
+        mass[name] = mass[name] + part if name in mass else part
+    enough = [m >= (threshold - 1e-6) ** 2 for m in mass.values()]
+    return reduce(Column.__or__, map(holds, lead_terms(threshold))) & reduce(Column.__or__, enough)
+
+
+def _total(terms: str, weights: Column) -> Column:
+    return F.aggregate(terms, F.lit(0.0), lambda s, x: s + F.coalesce(F.try_element_at(weights, x), F.lit(0.0)))
+
+
 def own_licences(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``(path, licence, cosine)``: the best template of any line of each file that reaches the threshold; ties go to the first name."""
-    spark = files.sparkSession
-    has_lead = lambda x: F.array_contains(F.array(*[F.contains(x, F.lit(t)) for t in lead_terms(threshold)]), True)
-    lines = files.where("text is not null").select("path", F.explode(F.array_distinct(F.filter(F.split(_lower(F.col("text")), "\n"), has_lead))).alias("line"))
-    # the words of a line, with counts; the line itself goes no further
-    words = lines.select("path", F.xxhash64("line").alias("l1"), F.xxhash64(F.lit(1), F.col("line")).alias("l2"), F.explode(F.regexp_extract_all("line", F.lit("([a-z0-9]+)"), F.lit(1))).alias("term"))
-    counts = words.groupBy("path", "l1", "l2", "term").agg(F.count("*").alias("n"))
-    table = spark.createDataFrame(vectors(), "licence string, term string, weight double, idf double")
+    """``(path, licence, cosine)``: the best template of any line of each file that reaches the threshold; ties go to the first name.
+
+    A line is weighed within its row, so only lines that reach the threshold are shuffled.
+    """
+    lines = files.where("text is not null").select("path", F.explode(F.split(_lower(F.col("text")), "\n")).alias("line")).where(_may_match("line", threshold))
+    words = lines.select("path", F.regexp_extract_all("line", F.lit("([a-z0-9]+)"), F.lit(1)).alias("terms"))
     idf, top = _idf()
-    known = spark.createDataFrame(sorted(idf.items()), "term string, idf double")
-    weighed = counts.join(F.broadcast(known), "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(top))).drop("idf")
-    norms = weighed.groupBy("path", "l1", "l2").agg(F.sum(F.col("w") * F.col("w")).alias("norm"))
-    dots = weighed.join(F.broadcast(table.select("licence", "term", "weight")), "term").groupBy("path", "l1", "l2", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, ["path", "l1", "l2"]).select("path", "licence", F.round(F.col("dot") / F.sqrt("norm"), 6).alias("cosine")).where(F.col("cosine") >= threshold)
-    best = scored.groupBy("path", "licence").agg(F.max("cosine").alias("cosine"))
-    return best.groupBy("path").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b")).select("path", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"))
+    shares: dict[str, dict[str, float]] = {}
+    for name, t, w, i in vectors():
+        shares.setdefault(name, {})[t] = w * i
+    tables, known = {n: _weights(x) for n, x in shares.items()}, _weights(idf)
+    # every occurrence adds its part to the dot products
+    near = words.withColumn("known", F.filter("terms", lambda x: F.array_contains(F.array(*[F.lit(t) for t in sorted(idf)]), x)))
+    dots = F.array(*[F.struct(F.lit(n).alias("licence"), _total("known", w).alias("dot")) for n, w in sorted(tables.items())])
+    # the i-th occurrence of a term adds (2i - 1) idf^2 to the squared norm: all n of them n^2 idf^2
+    start = F.struct(F.lit("").alias("t"), F.lit(0).alias("i"), F.lit(0.0).alias("s"))
+
+    def step(acc: Column, x: Column) -> Column:
+        i = F.when(acc["t"] == x, acc["i"] + 1).otherwise(F.lit(1))
+        w = F.coalesce(F.try_element_at(known, x), F.lit(top))
+        return F.struct(x.alias("t"), i.alias("i"), (acc["s"] + (2 * i - 1) * w * w).alias("s"))
+
+    norm = F.sqrt(F.aggregate(F.sort_array("terms"), start, step, lambda acc: acc["s"]))
+    scored = near.select("path", dots.alias("dots"), norm.alias("norm"))
+    best = scored.select("path", F.array_min(F.transform("dots", lambda d: F.struct((-F.round(d["dot"] / F.col("norm"), 6)).alias("c"), d["licence"].alias("licence")))).alias("b")).where(F.col("b.c") <= -threshold)
+    return best.groupBy("path").agg(F.min("b").alias("b")).select("path", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"))
 
 
 def _folder(path: Column) -> Column:
@@ -108,7 +139,7 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     licence of all of them. Extra columns are not read.
     """
     rows = files.select("path", "text")
-    own = own_licences(rows.where("path is not null"), threshold)
+    own = settle(own_licences(rows.where("path is not null"), threshold), "licences")  # texts are read once
     declared = own.where(F.col("path").rlike(LICENCE_FILE)).select(_folder(F.col("path")).alias("dir"), "path", "licence", "cosine")
     declared = declared.groupBy("dir").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "path", "licence")).alias("d")).select("dir", F.col("d.licence").alias("licence"))
     paths = rows.select("path", _folder(F.col("path")).alias("dir"))
