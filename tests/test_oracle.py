@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from asofworks.plans import catalogue
@@ -11,7 +12,13 @@ SF = "/root/testdata/sf0.001"
 
 
 def rows(frame):
-    cell = lambda v: None if v is None or v != v else round(float(v), 5) if isinstance(v, float) else str(v)
+    def cell(v):
+        if v is None or v is pd.NA or v is pd.NaT or v != v:
+            return None
+        if isinstance(v, float):  # pandas makes floats of whole numbers beside nulls
+            return str(int(v)) if v.is_integer() else str(round(v, 5))
+        return str(v)
+
     return sorted(str([cell(v) for v in r]) for r in frame[sorted(frame.columns)].astype(object).values.tolist())
 
 
