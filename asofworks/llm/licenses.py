@@ -1,8 +1,8 @@
 """Licence scans: TF-IDF cosine of text lines to licence templates, and inheritance along directories.
 
 Everything on the path is DataFrame operations. A line is weighed only if the terms it
-holds could reach the threshold for some template, so no match is lost. Inverse document frequencies come from
-the templates (a fixed table); a term they lack has the highest.
+holds could reach the threshold for some form, so no line that reaches it is lost. Inverse document frequencies
+come from the first forms (a fixed table); a term they lack has the highest.
 
 A file's own licence is that of its best line. Files named like a licence file also
 declare it for their directory; every other file inherits from its nearest ancestor
@@ -33,6 +33,31 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+#: Statements of further licences.
+TEMPLATES |= {
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "BSD-2-Clause": "Licensed under the BSD 2-Clause License.",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "CC0-1.0": "Licensed under CC0 1.0.",
+    "EPL-2.0": "Licensed under the Eclipse Public License, version 2.0.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "ISC": "Released under the ISC License.",
+    "LGPL-2.1": "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+    "Zlib": "Released under the zlib License.",
+}
+_CC = {"": "Attribution", "-NC": "Attribution-NonCommercial", "-NC-ND": "Attribution-NonCommercial-NoDerivatives", "-NC-SA": "Attribution-NonCommercial-ShareAlike", "-ND": "Attribution-NoDerivatives", "-SA": "Attribution-ShareAlike"}
+#: Second forms ``(licence, text)``; OP1_SQL knows the first forms only.
+FORMS = [(f"CC-BY{k}-4.0", f"This work is licensed under a Creative Commons {v} 4.0 International License.") for k, v in _CC.items() if k] + [(f"CC-BY{k}-3.0", f"Licensed under CC BY{k} 3.0.") for k in _CC] + [
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC0-1.0", "This work is dedicated to the public domain under the Creative Commons CC0 1.0 Universal License."),
+    ("MIT", "This project is licensed under the terms of the MIT License."),
+]
 THRESHOLD = 0.75
 LICENCE_FILE = r"(^|/)(LICENSE|LICENCE|COPYING|NOTICE)[^/]*$"
 
@@ -47,29 +72,41 @@ def _idf() -> tuple[dict[str, float], float]:
     return {t: math.log((1 + n) / (1 + k)) + 1 for t, k in df.items()}, math.log(1 + n) + 1
 
 
-def vectors() -> list[tuple[str, str, float, float]]:
-    """(licence, term, unit weight, idf) of all templates."""
-    idf, _ = _idf()
+def _units(texts: list[tuple[str, str]]) -> list[list[tuple[str, str, float, float]]]:
+    """For each text (licence, term, unit weight, idf) of its terms."""
+    idf, top = _idf()
     out = []
-    for name, text in TEMPLATES.items():
-        w = {t: k * idf[t] for t, k in Counter(terms(text)).items()}
+    for name, text in texts:
+        w = {t: k * idf.get(t, top) for t, k in Counter(terms(text)).items()}
         norm = math.sqrt(sum(x * x for x in w.values()))
-        out += [(name, t, x / norm, idf[t]) for t, x in sorted(w.items())]
+        out.append([(name, t, x / norm, idf.get(t, top)) for t, x in sorted(w.items())])
     return out
 
 
+def vectors() -> list[tuple[str, str, float, float]]:
+    """(licence, term, unit weight, idf) of the first forms."""
+    return [x for rows in _units(list(TEMPLATES.items())) for x in rows]
+
+
+def _all_forms() -> list[list[tuple[str, str, float, float]]]:
+    return _units([*TEMPLATES.items(), *FORMS])
+
+
+#: Words of the forms that prose often holds; they lead last.
+_COMMON = frozenset("0 1 2 3 4 a and by code form following in into is of or subject that the this to under use version with without work".split())
+
+
 def lead_terms(threshold: float = THRESHOLD) -> list[str]:
-    """For each template its longest terms (prose seldom holds them), as many as leave the rest a norm below the threshold."""
+    """For each form its rare terms, as many as leave the rest a norm below the threshold."""
     lead = set()
-    for name in TEMPLATES:
+    for rows in _all_forms():
         rest = 1.0
-        for _, t, w, _ in sorted((x for x in vectors() if x[0] == name), key=lambda x: (-len(x[1]), -x[2], x[1])):
+        for _, t, w, _ in sorted(rows, key=lambda x: (x[1] in _COMMON, -x[2], x[1])):
             if math.sqrt(max(rest, 0)) < threshold - 1e-6:  # cosines are rounded to six digits
                 break
             lead.add(t)
             rest -= w * w
-    # a term that contains another is found by it
-    return sorted(t for t in lead if not any(o != t and o in t for o in lead))
+    return sorted(lead)
 
 
 def _lower(c: Column) -> Column:
@@ -80,18 +117,16 @@ def _weights(values: dict[str, float]) -> Column:
     return F.create_map(*[F.lit(x) for pair in sorted(values.items()) for x in pair])
 
 
-def _may_match(line: str, threshold: float) -> Column:
-    """Whether a line can reach the threshold: it holds a lead term, and the cosine is at most the norm of a template's terms that the line holds."""
-    holds = lambda t: F.contains(F.col(line), F.lit(t))
-    mass: dict[str, Column] = {}
-    for name, t, w, _ in vectors():
-        part = F.when(holds(t), F.lit(w * w)).otherwise(F.lit(0.0))
-        mass[name] = mass[name] + part if name in mass else part
-    enough = [m >= (threshold - 1e-6) ** 2 for m in mass.values()]
-    return reduce(Column.__or__, map(holds, lead_terms(threshold))) & reduce(Column.__or__, enough)
+def _may_match(words: Column, threshold: float) -> Column:
+    """Whether a line's words can reach the threshold: the cosine is at most the norm of a form's terms among them."""
+    forms = _all_forms()
+    vocabulary = F.array(*[F.lit(t) for t in sorted({t for rows in forms for _, t, _, _ in rows})])
+    masses = [_weights({t: w * w for _, t, w, _ in rows}) for rows in forms]
+    enough = lambda held: reduce(Column.__or__, [_total(held, m) >= (threshold - 1e-6) ** 2 for m in masses])
+    return F.exists(F.array(F.array_intersect(words, vocabulary)), enough)
 
 
-def _total(terms: str, weights: Column) -> Column:
+def _total(terms: Column | str, weights: Column) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda s, x: s + F.coalesce(F.try_element_at(weights, x), F.lit(0.0)))
 
 
@@ -100,16 +135,16 @@ def own_licences(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     A line is weighed within its row, so only lines that reach the threshold are shuffled.
     """
-    lines = files.where("text is not null").select("path", F.explode(F.split(_lower(F.col("text")), "\n")).alias("line")).where(_may_match("line", threshold))
-    words = lines.select("path", F.regexp_extract_all("line", F.lit("([a-z0-9]+)"), F.lit(1)).alias("terms"))
-    idf, top = _idf()
-    shares: dict[str, dict[str, float]] = {}
-    for name, t, w, i in vectors():
-        shares.setdefault(name, {})[t] = w * i
-    tables, known = {n: _weights(x) for n, x in shares.items()}, _weights(idf)
+    lead = f"(?<![a-z0-9])(?:{'|'.join(lead_terms(threshold))})(?![a-z0-9])"
+    lines = files.where("text is not null").select("path", F.explode(F.split(_lower(F.col("text")), "\n")).alias("line")).where(F.col("line").rlike(lead))
+    words = lines.select("path", F.regexp_extract_all("line", F.lit("([a-z0-9]+)"), F.lit(1)).alias("terms")).where(_may_match(F.col("terms"), threshold))
+    _, top = _idf()
+    forms = _all_forms()
+    idf = {t: i for rows in forms for _, t, _, i in rows}
+    tables, known = [(rows[0][0], _weights({t: w * i for _, t, w, i in rows})) for rows in forms], _weights(idf)
     # every occurrence adds its part to the dot products
     near = words.withColumn("known", F.filter("terms", lambda x: F.array_contains(F.array(*[F.lit(t) for t in sorted(idf)]), x)))
-    dots = F.array(*[F.struct(F.lit(n).alias("licence"), _total("known", w).alias("dot")) for n, w in sorted(tables.items())])
+    dots = F.array(*[F.struct(F.lit(n).alias("licence"), _total("known", w).alias("dot")) for n, w in tables])
     # the i-th occurrence of a term adds (2i - 1) idf^2 to the squared norm: all n of them n^2 idf^2
     start = F.struct(F.lit("").alias("t"), F.lit(0).alias("i"), F.lit(0.0).alias("s"))
 

@@ -236,6 +236,20 @@ def test_licences(spark):
     assert licenses.scan(files.limit(0)).count() == 0
 
 
+def test_licence_lines_of_the_documents(spark):
+    """Every line of the driver's documents that speaks of a licence is recognised, by the right name."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text rlike '(?i)licen[sc]e'").select("text").collect()]
+    lines = sorted({x for t in texts for x in t.split("\n") if re.search("(?i)licen[sc]e", x)})
+    want = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the MIT License.": "MIT", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0"}
+    assert set(lines) == set(want)
+    want |= dict((text, name) for name, text in [*licenses.TEMPLATES.items(), *licenses.FORMS])
+    want |= {"prose that is licensed under nothing": None, "mit mit": None}
+    assert all(w < licenses.THRESHOLD for rows in licenses._all_forms() for _, _, w, _ in rows)  # no single word names a licence
+    files = spark.createDataFrame(list(want.items()), "text string, name string").select(F.concat(F.lit("f"), F.md5("text")).alias("path"), "text", "name")
+    got = {r.path: r.licence for r in licenses.own_licences(files).collect()}
+    assert {r.text: got.get(r.path) for r in files.collect()} == want
+
+
 def test_merkle_audit(spark):
     pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>" if i % 50 else None) for i in range(600)] + [(None, "x", "y"), (3, "u3", "<p>3</p>")], "page_id long, url string, html string")
     other = pages.where("page_id is null or page_id <> 40").withColumn("html", F.when(F.col("page_id") == 300, "zz").otherwise(F.col("html"))).union(spark.createDataFrame([(600, "n", "n")], pages.schema))
