@@ -84,6 +84,19 @@ def rerank_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 both("scoped_union_dedup", "WITH u AS (SELECT vec_id, 0 AS o FROM embeddings WHERE label = 2 AND vec_id < 100 UNION ALL SELECT vec_id, 1 FROM embeddings WHERE vec_id < 60) SELECT vec_id, MIN(o) AS first_source FROM u GROUP BY vec_id")
+
+
+@query(f"""WITH s AS (SELECT vec_id, {_SCORE} AS score, 0 AS o FROM embeddings WHERE label = 2 ORDER BY score DESC, vec_id LIMIT 8), a AS (SELECT vec_id, {_SCORE} AS score, 1 AS o FROM embeddings ORDER BY score DESC, vec_id LIMIT 40),
+f AS (SELECT vec_id, score, MIN(o) AS first_source FROM (SELECT * FROM s UNION ALL SELECT * FROM a) GROUP BY vec_id, score)
+SELECT vec_id, first_source, score, CAST(row_number() OVER (ORDER BY first_source, score DESC, vec_id) AS INTEGER) AS rank FROM f QUALIFY rank <= 40""")
+def scoped_union_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 8 of one label, then the best of all vectors; a vector counts where it stands first; 40 at most."""
+    scoped, everywhere = _top(spark, sf_dir, 8, F.col("label") == 2), _top(spark, sf_dir, 40)
+    found = scoped.withColumn("o", F.lit(0)).unionByName(everywhere.withColumn("o", F.lit(1)))
+    first = found.groupBy("vec_id", "score").agg(F.min("o").alias("first_source"))
+    return retrieval.ranked(first, F.col("first_source"), F.desc("score"), F.col("vec_id")).where("rank <= 40").select("vec_id", "first_source", "score", "rank")
+
+
 both("distinct_periods", "SELECT DISTINCT extract(year FROM o_orderdate) AS y, extract(quarter FROM o_orderdate) AS q FROM orders", "SELECT DISTINCT CAST(extract(year FROM o_orderdate) AS BIGINT) AS y, CAST(extract(quarter FROM o_orderdate) AS BIGINT) AS q FROM orders")
 
 # Questions for the analyser; fixed values.

@@ -35,3 +35,12 @@ def test_query(spark, duck, name):
     got, want = catalogue.QUERIES[name](spark, SF).toPandas(), duck.sql(catalogue.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_scoped_union_searches_all_vectors(spark):
+    """Vectors of high ids are found, and the best of all vectors are there."""
+    sf = SF.replace("0.001", "0.01")
+    got = catalogue.QUERIES["scoped_union_topk"](spark, sf).toPandas()
+    best = catalogue.QUERIES["vector_topk"](spark, sf).toPandas()
+    assert len(got) == 40 and got.vec_id.is_unique and got.vec_id.max() >= 100
+    assert set(best.vec_id) <= set(got.vec_id) and (got.first_source == 0).sum() == 8
