@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import retrieval
-from .base import both, query, run
+from .base import SQL, both, query, run
 
 _Q = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
 _COS = "ROUND(list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) / (sqrt(list_dot_product(CAST({a} AS DOUBLE[]), CAST({a} AS DOUBLE[]))) * sqrt(list_dot_product(CAST({b} AS DOUBLE[]), CAST({b} AS DOUBLE[])))), 6)"
@@ -114,6 +114,10 @@ both("temporal_constraints", f"""WITH {_QUESTIONS}, x AS (SELECT id, t, regexp_e
 SELECT id, CASE WHEN iso <> '' THEN iso || ' 00:00:00' WHEN june <> '' THEN y || '-06-' || lpad(june, 2, '0') || ' 00:00:00' WHEN qq <> '' THEN y || CASE qq WHEN '1' THEN '-03-31' WHEN '2' THEN '-06-30' WHEN '3' THEN '-09-30' ELSE '-12-31' END || ' 23:59:59' WHEN y <> '' THEN y || '-12-31 23:59:59' END AS reference FROM x""")
 both("entity_linking", f"WITH {_QUESTIONS}, terms(term, node) AS (VALUES ('nvidia', 'NVDA'), ('apple', 'AAPL'), ('microsoft', 'MSFT'), ('amd', 'AMD'), ('intel', 'INTC')) SELECT id, node FROM q JOIN terms ON contains(' ' || lower(regexp_replace(t, '[^A-Za-z0-9]', ' ', 'g')) || ' ', ' ' || term || ' ')",
      f"WITH {_QUESTIONS}, terms(term, node) AS (VALUES ('nvidia', 'NVDA'), ('apple', 'AAPL'), ('microsoft', 'MSFT'), ('amd', 'AMD'), ('intel', 'INTC')) SELECT id, node FROM q JOIN terms ON contains(' ' || lower(regexp_replace(t, '[^A-Za-z0-9]', ' ')) || ' ', ' ' || term || ' ')")
+# The same analysis over every user turn.
+_turns = lambda s: s.replace(_QUESTIONS, "q AS (SELECT conv_id, turn, text AS t FROM conversations WHERE role = 'user')").replace("SELECT id,", "SELECT conv_id, turn,")
+for _name in ("intent_detection", "hop_depth", "question_type", "temporal_constraints", "entity_linking"):
+    both(f"{_name}_turns", s := _turns(SQL[_name]), _spark(s).replace(", 'g'", ""))
 both("sufficiency_gate", """WITH e AS (SELECT c.conv_id AS q, d.doc_id, d.source, d.lang, d.doc_id % 365 AS day FROM conversations c JOIN documents d ON d.doc_id = c.conv_id * 3 + c.turn WHERE c.role = 'user'),
 a AS (SELECT q, COUNT(*) AS n, SUM(CASE WHEN day > 300 THEN 1 ELSE 0 END) AS late, SUM(CASE WHEN source IS NOT NULL THEN 1 ELSE 0 END) AS sourced, COUNT(DISTINCT source) AS entities, SUM(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) AS rel FROM e GROUP BY q)
 SELECT q, CASE WHEN n < 1 THEN 'count' WHEN late > 0 THEN 'temporal' WHEN sourced = 0 THEN 'provenance' WHEN entities < 2 THEN 'entity' WHEN rel = 0 THEN 'relationship' ELSE 'sufficient' END AS outcome FROM a""")

@@ -44,3 +44,9 @@ def test_scoped_union_searches_all_vectors(spark):
     best = catalogue.QUERIES["vector_topk"](spark, sf).toPandas()
     assert len(got) == 40 and got.vec_id.is_unique and got.vec_id.max() >= 100
     assert set(best.vec_id) <= set(got.vec_id) and (got.first_source == 0).sum() == 8
+
+
+@pytest.mark.parametrize("name", ["intent_detection", "hop_depth", "question_type", "temporal_constraints"])
+def test_analysis_reads_every_user_turn(spark, name):
+    turns = spark.read.parquet(f"{SF}/conversations.parquet").where("role = 'user'").count()
+    assert turns > 9 and catalogue.QUERIES[f"{name}_turns"](spark, SF).count() == turns
