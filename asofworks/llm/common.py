@@ -11,9 +11,10 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch; texts can be long, so a batch stays a few megabytes.
+#: Rows a batch function sees at once. Spark itself bounds an Arrow batch by bytes (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless the caller sets it).
 ARROW_ROWS = 400
 
 #: ``A-Z`` to ``a-z`` in UTF-8 bytes; every other byte stays.
@@ -53,53 +54,97 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset a local master gets a temporary one; a cluster gets an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not context.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     base = tempfile.mkdtemp(prefix="asofworks-")
     atexit.register(shutil.rmtree, base, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(base)
+    context.setCheckpointDir(base)
     return base
 
 
+#: Folders of settled tables by application, oldest first.
+_settled: dict[str, list[str]] = {}
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
     This cuts the lineage: later stages start from files that survive the loss of
-    any executor.
+    any executor. The table lies there until :func:`discard` or :func:`release`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/asofworks-{name}-{uuid.uuid4().hex}"
+    _settled.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete tables made by :func:`settle` that nothing reads any more."""
     for df in frames:
         spark = df.sparkSession
+        held = _settled.get(spark.sparkContext.applicationId, [])
         for file in df.inputFiles()[:1]:
             folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
             if folder.getName().startswith("asofworks-"):
-                folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+                held[:] = [x for x in held if not x.endswith(folder.getName())]
+                _delete(spark, folder.toString())
+
+
+def release(spark: SparkSession) -> int:
+    """Delete every table of this application that is still settled, once the results that read them are done; returns how many."""
+    held = _settled.pop(spark.sparkContext.applicationId, [])
+    for path in held:
+        _delete(spark, path)
+    return len(held)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or with underlines behind it: a name no column of ``df`` has (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def carried(df: DataFrame, *needed: str) -> DataFrame:
+    """``df`` as its needed columns and a struct ``row_`` of all others, so that no name can clash with what an operator adds."""
+    rest = [c for c in df.columns if c not in needed]
+    row = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(None).cast("struct<none: int>")
+    return df.select(*[F.col(f"`{c}`") for c in needed], row.alias("row_"))
+
+
+def restore_columns(like: DataFrame, *needed: str) -> list[Column]:
+    """The columns of ``like`` in what :func:`carried` made of it."""
+    return [F.col(f"`{c}`") if c in needed else F.col("row_").getField(c).alias(c) for c in like.columns]
+
+
+def restored(df: DataFrame, like: DataFrame, *needed: str) -> DataFrame:
+    return df.select(*restore_columns(like, *needed))
 
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with bounded batches; ``make`` runs once in each task and returns the batch function."""
+    """``mapInArrow`` with the batches cut into slices of ``ARROW_ROWS``; ``make`` runs once in each task and returns the batch function."""
     ship(df.sparkSession)
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            if batch.num_rows:
-                yield work(batch)
+            for at in range(0, batch.num_rows, ARROW_ROWS):
+                yield work(batch.slice(at, ARROW_ROWS))
 
     return df.mapInArrow(run, schema)
 

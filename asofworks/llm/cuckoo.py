@@ -46,30 +46,39 @@ class CuckooFilter:
         return tag.astype(np.uint16), one.astype(np.int64), (one ^ (_mix(tag) & mask)).astype(np.int64)
 
     def insert(self, keys: np.ndarray) -> None:
+        """Whole arrays go to free slots of their first and then of their second bucket; the few keys left displace others."""
         tags, ones, twos = self._places(keys)
+        left = np.arange(len(tags))
+        for places in (ones, twos):
+            order = left[np.argsort(places[left], kind="stable")]
+            at = places[order]
+            rank = np.arange(len(at)) - np.searchsorted(at, at)
+            taken = self.table[at] != 0
+            fits = rank < SLOTS - taken.sum(1)
+            slots = np.argsort(taken[fits], axis=1, kind="stable")[np.arange(int(fits.sum())), rank[fits]]
+            self.table[at[fits], slots] = tags[order[fits]]
+            left = order[~fits]
+        if len(left):
+            self._displace(tags[left], ones[left])
+
+    def _displace(self, tags: np.ndarray, ones: np.ndarray) -> None:
         mask = len(self.table) - 1
         jump = (_mix(np.arange(1 << 16, dtype=np.uint64)) & np.uint64(mask)).astype(np.int64)
         table = self.table
-        for t, i, j in zip(tags.tolist(), ones.tolist(), twos.tolist(), strict=True):
-            for at in (i, j):
-                row = table[at]
-                free = np.flatnonzero(row == 0)
+        for t, at in zip(tags.tolist(), ones.tolist(), strict=True):
+            for turn in range(500):
+                slot = (turn + t) % SLOTS
+                t, table[at, slot] = int(table[at, slot]), t
+                if not t:
+                    break
+                at = int(at ^ jump[t])
+                free = np.flatnonzero(table[at] == 0)
                 if len(free):
-                    row[free[0]] = t
+                    table[at, free[0]] = t
                     break
             else:
-                at = i
-                for turn in range(500):
-                    slot = (turn + t) % SLOTS
-                    t, table[at, slot] = int(table[at, slot]), t
-                    at = int(at ^ jump[t])
-                    free = np.flatnonzero(table[at] == 0)
-                    if len(free):
-                        table[at, free[0]] = t
-                        break
-                else:
-                    key = (t, min(at, int(at ^ jump[t])))
-                    self.overflow[key] = self.overflow.get(key, 0) + 1
+                key = (t, min(at, int(at ^ jump[t])))
+                self.overflow[key] = self.overflow.get(key, 0) + 1
 
     def contains(self, keys: np.ndarray) -> np.ndarray:
         if not len(keys):

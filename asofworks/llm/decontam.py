@@ -1,30 +1,37 @@
 """Benchmark decontamination with one Aho-Corasick automaton over normalised items.
 
-A text is normalised once (ASCII lower-cased, words joined by one space); every
-window of ten item words is one pattern, bounded by spaces. Hits are word ranges,
-mapped back to offsets of the original text. The automaton is built from the
-benchmark table, whose size is checked; a larger table is dealt over several
-automata that are applied one behind the other, without any shuffle.
+A text is normalised once (ASCII lower-cased, cut into words); every window of ten item
+words is one pattern. The automaton's symbols are words, not characters: each distinct
+benchmark word has a number, a word that no item holds has the number 0, and a state is
+some words of a pattern. So a text is scanned once, hits come as word ranges, and these
+are mapped back to offsets of the original text.
+
+The automaton is broadcast, so its size is bounded: the benchmark's words are summed up
+before anything is collected, and a benchmark beyond the bound is an error.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import repeat
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, held, texts
+from .common import arrow_map, carried, held, restore_columns, restored, texts
 
 WINDOW = 10
-#: Pattern characters in one automaton; about 100 bytes of worker memory each.
-AUTOMATON_CHARS = 2_000_000
+#: Words of all patterns together, an upper bound of the automaton's states (about 100 bytes of worker memory each).
+PATTERN_WORDS = 4_000_000
 
 #: Bytes of UTF-8 that are part of words: 0-9, a-z (after lower-casing A-Z) and all non-ASCII; the rest become spaces.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
+#: The same words for Spark's regular expressions.
+WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+
 
 def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(WORD_BYTES).split()
@@ -35,35 +42,46 @@ def windows(text: str | None, width: int = WINDOW) -> list[bytes]:
     return [b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))] if w else []
 
 
-def _patterns(benchmark: DataFrame, width: int) -> list[list[tuple[str, tuple[str, ...]]]]:
-    """Patterns with the item ids that hold them, in groups of at most AUTOMATON_CHARS characters."""
+def patterns(benchmark: DataFrame, width: int = WINDOW, most: int = PATTERN_WORDS) -> list[tuple[bytes, tuple[str, ...]]]:
+    """The distinct windows with the ids of the items that hold them, in order.
+
+    Their words are counted first; more than ``most`` raise a ValueError, and nothing is collected.
+    """
+    n = F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).cast("long")
+    wide = F.when(n > width, (n - width + 1) * width).otherwise(n)
+    items = benchmark.select(F.col("item_id").cast("string").alias("i"), "text").where("text is not null")
+    total = items.agg(F.sum(wide).alias("n")).first().n or 0
+    if total > most:
+        raise ValueError(f"the benchmark makes patterns of {total} words, more than the automaton's bound of {most}: scan for its parts one after the other")
     found: dict[bytes, set[str]] = {}
-    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), "text").where("text is not null").toLocalIterator():
+    for r in items.toLocalIterator():
         for w in windows(r.text, width):
             found.setdefault(w, set())
             if r.i is not None:
                 found[w].add(r.i)
-    groups, size = [[]], 0
-    for w in sorted(found):
-        if size + len(w) > AUTOMATON_CHARS and groups[-1]:
-            groups.append([])
-            size = 0
-        size += len(w)
-        groups[-1].append((f" {w.decode('latin-1')} ", tuple(sorted(found[w]))))
-    return groups
+    return [(w, tuple(sorted(found[w]))) for w in sorted(found)]
 
 
-def _automaton(patterns: list) -> ahocorasick.Automaton:
-    mark = hashlib.sha256(repr(patterns).encode()).hexdigest()
+class Scanner:
+    """The automaton over numbered words."""
 
-    def build() -> ahocorasick.Automaton:
-        a = ahocorasick.Automaton()
-        for p, ids in patterns:
-            a.add_word(p, (p.count(" ") - 1, len(p), ids))
-        a.make_automaton()
-        return a
+    def __init__(self, held: list[tuple[bytes, tuple[str, ...]]]):
+        self.numbers = {w: n for n, w in enumerate(sorted({w for p, _ in held for w in p.split()}), 1)}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE) if held else None
+        for p, ids in held:
+            key = tuple(self.numbers[w] for w in p.split())
+            self.automaton.add_word(key, (len(key), ids))
+        if held:
+            self.automaton.make_automaton()
 
-    return held(("automaton", mark), build)
+    def scan(self, w: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """Merged word ranges of all hits, and the ids of the items they come from."""
+        ranges, names = [], set()
+        if self.automaton is not None and w:
+            for end, (n, ids) in self.automaton.iter(tuple(map(self.numbers.get, w, repeat(0)))):
+                ranges.append((end + 1 - n, end + 1))
+                names.update(ids)
+        return _merge(ranges), names
 
 
 def _merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -76,52 +94,44 @@ def _merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+def _scan(docs: DataFrame, benchmark: DataFrame, width: int, most: int) -> DataFrame:
+    """The columns of ``docs``, none of them named as the four that are added."""
+    listed = patterns(benchmark, width, most)
+    mark = hashlib.sha256(repr(listed).encode()).hexdigest()
+    sent = docs.sparkSession.sparkContext.broadcast(listed)
+
+    def make():
+        scanner = held(("automaton", mark), lambda: Scanner(sent.value))
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            n_words, hits, items, spans = [], [], [], []
+            for t in texts(batch):
+                w = words(t)
+                own, names = scanner.scan(w)
+                n_words.append(len(w))
+                hits.append([list(x) for x in own])
+                items.append(sorted(names))
+                spans.append(_spans(t, own) if own else [])
+            added = [pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int32())))]
+            return pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "n_words", "hits", "items", "spans"])
+
+        return work
+
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+    return arrow_map(docs, make, ", ".join([*kept, "n_words long", "hits array<array<int>>", "items array<string>", "spans array<array<int>>"]))
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most: int = PATTERN_WORDS) -> DataFrame:
     """All columns of ``docs`` and ``n_words``, ``hits`` (merged word ranges, end exclusive), ``items`` (ids of items with an occurring window, as sorted strings), ``spans`` (the ranges as code points of the text).
 
     A null text has no words. An empty benchmark hits nothing. Items without id count
-    for hits but are not listed. Extra columns stay; columns of the four names are replaced.
+    for hits but are not listed; items of one id count as one. Each row is scanned whole and
+    by itself. Extra columns stay; columns of the four names are replaced. A benchmark
+    whose patterns hold more than ``most`` words is an error.
     """
-    out = docs.drop("n_words", "hits", "items", "spans").withColumns({"hits": F.expr("cast(array() as array<array<int>>)"), "items": F.expr("cast(array() as array<string>)")})
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name not in ("hits", "items")]
-    groups = _patterns(benchmark, width)
-    for at, group in enumerate(groups):
-        last = at == len(groups) - 1
-        sent = docs.sparkSession.sparkContext.broadcast(group)
-
-        def make(sent=sent, last=last):
-            a = _automaton(sent.value) if sent.value else None
-
-            def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-                cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-                before, found = cols["hits"].to_pylist(), cols["items"].to_pylist()
-                n_words, hits, items, spans = [], [], [], []
-                for t, h, ids in zip(texts(batch), before, found, strict=True):
-                    w = words(t)
-                    own, names = [tuple(x) for x in h], set(ids)
-                    if a is not None and w:
-                        line = f" {b' '.join(w).decode('latin-1')} "
-                        seen, pos = 0, 0
-                        for end, (n, size, who) in a.iter(line):
-                            seen += line.count(" ", pos, end)  # words that end before this hit's last space
-                            pos = end
-                            own.append((seen - n, seen))
-                            names.update(who)
-                    own = _merge(own)
-                    n_words.append(len(w))
-                    hits.append([list(x) for x in own])
-                    items.append(sorted(names))
-                    spans.append(_spans(t, own) if last and own else [])
-                cols |= {"hits": pa.array(hits, pa.list_(pa.list_(pa.int32()))), "items": pa.array(items, pa.list_(pa.string()))}
-                if last:
-                    cols |= {"n_words": pa.array(n_words, pa.int64()), "spans": pa.array(spans, pa.list_(pa.list_(pa.int32())))}
-                return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
-
-            return work
-
-        schema = ", ".join([*kept, "hits array<array<int>>", "items array<string>", *["n_words long", "spans array<array<int>>"] * last])
-        out = arrow_map(out, make, schema)
-    return out
+    rest = docs.drop("n_words", "hits", "items", "spans")
+    out = _scan(carried(rest, "text"), benchmark, width, most)
+    return out.select(*restore_columns(rest, "text"), "n_words", "hits", "items", "spans")
 
 
 def _spans(text: str, hits: list[tuple[int, int]]) -> list[list[int]]:
@@ -134,12 +144,18 @@ def _spans(text: str, hits: list[tuple[int, int]]) -> list[list[int]]:
         starts.append(at)
         at += len(w)
         ends.append(at)
-    return [[len(raw[: starts[a]].decode()), len(raw[: ends[b - 1]].decode())] for a, b in hits]
+    out, done, points = [], 0, 0
+    for a, b in hits:  # each stretch is decoded once
+        points += len(raw[done : starts[a]].decode())
+        size = len(raw[starts[a] : ends[b - 1]].decode())
+        out.append([points, points + size])
+        points, done = points + size, ends[b - 1]
+    return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no window of the benchmark occurs."""
-    return scan(docs, benchmark).where(F.size("hits") == 0).select(docs.columns)
+    """The documents in which no window of the benchmark occurs, with their own columns only, whatever these are named. A null text is clean."""
+    return restored(_scan(carried(docs, "text"), benchmark, WINDOW, PATTERN_WORDS).where(F.size("hits") == 0), docs, "text")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

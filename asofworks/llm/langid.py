@@ -13,21 +13,24 @@ language), and a batch of whole texts is scored with array look-ups.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, column, texts
+from .common import arrow_map, carried, restore_columns, restored, texts
 
 ORDER = 3
-#: Bounds of the training sample: documents a language (expected; twice that at most) and bytes of one of them.
-TRAIN_DOCS, TRAIN_BYTES = 300, 65_536
+#: Bounds of the training sample: documents a language (expected; twice that at most) and characters of one of them (a longer one gives an excerpt from a place drawn by its id).
+TRAIN_DOCS, TRAIN_CHARS = 300, 60_000
 #: A context is kept if some language has it this often.
 MIN_CONTEXT = 2
-#: A text whose best code needs more bits a byte than this is not in any learned language.
-MAX_BITS = 7.0
+#: Bytes of the table of code lengths, which is broadcast: with many languages the rarest of the longest contexts are pruned, and shorter ones predict in their place.
+TABLE_BYTES = 96 << 20
+#: Distinct ``lang`` values a model may have; a column with more holds no languages.
+MAX_LANGS = 256
+#: A text is in no learned language if its best code needs more bits a byte than MAX_BITS and more than MAX_EXCESS bits over that rate in all, so a few odd characters reject nothing.
+MAX_BITS, MAX_EXCESS = 7.0, 24.0
 
 
 class PpmModel:
@@ -41,9 +44,10 @@ class PpmModel:
         self.langs, self.cls, self.state, self.bits = langs, cls, state, bits
 
     @classmethod
-    def train(cls, samples: dict[str, list[bytes]], min_context: int = MIN_CONTEXT) -> PpmModel:
-        """Count contexts of up to three bytes in each language's texts and freeze them."""
-        langs = sorted(samples)
+    def train(cls, samples: dict[str, list[bytes]], min_context: int = MIN_CONTEXT, table_bytes: int = TABLE_BYTES) -> PpmModel:
+        """Count contexts of up to three bytes in each language's texts and freeze them; a language without any text is not learned."""
+        langs = sorted(lang for lang, parts in samples.items() if any(parts))  # a language without text has no tree
+        samples = {lang: samples[lang] for lang in langs}
         seen = sorted({b for x in samples.values() for t in x for b in set(t)})
         a = len(seen) + 1
         classes = np.zeros(256, np.int32)
@@ -70,13 +74,21 @@ class PpmModel:
             counts.append(per)
         #: The union of all languages' contexts, by length, so that one state serves every language.
         keys = [np.zeros(1, np.int64)]
+        room = table_bytes // (4 * a * max(1, len(langs))) - 1
         for k in range(1, ORDER + 1):
-            found = []
+            found, often = [], []
             for per in counts:
                 value, n = per[k]
                 ctx, at = np.unique(value // a, return_inverse=True)
-                found.append(ctx[np.bincount(at, n, len(ctx)) >= min_context] if len(ctx) else ctx)
-            keys.append(np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64))
+                times = np.bincount(at, n, len(ctx)) if len(ctx) else np.zeros(0)
+                found.append(ctx[times >= min_context])
+                often.append(times[times >= min_context])
+            ctx, at = np.unique(np.concatenate(found), return_inverse=True) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            if len(ctx) > room:  # the most frequent ones, ties by code
+                times = np.bincount(at, np.concatenate(often), len(ctx))
+                ctx = np.sort(ctx[np.lexsort((ctx, -times))[: max(0, room)]])
+            room -= len(ctx)
+            keys.append(ctx)
         first = np.cumsum([0, *[len(x) for x in keys]])
         bits = np.empty((len(langs), int(first[-1]), a), np.float32)
         for li, per in enumerate(counts):
@@ -153,28 +165,26 @@ def training_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "lang").where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0 and lang is not null and text is not null")
 
 
-def fit(docs: DataFrame, per_lang: int = TRAIN_DOCS, max_bytes: int = TRAIN_BYTES) -> PpmModel:
-    """Fit on a bounded sample: documents of each language drawn by a hash of doc_id, at most ``2 * per_lang`` a language and ``max_bytes`` each."""
+def fit(docs: DataFrame, per_lang: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> PpmModel:
+    """Fit on a bounded sample: documents of each language drawn by a hash of doc_id, at most ``2 * per_lang`` a language, and of a document longer than ``max_chars`` an excerpt of that length from a place drawn by its id."""
     rows = training_rows(docs)
-    n = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGS + 1).collect()
+    if len(counted) > MAX_LANGS:
+        raise ValueError(f"lang has more than {MAX_LANGS} values")
+    n = {r.lang: r.n for r in counted}
     if not n:
         return PpmModel.train({})
     share = F.create_map(*[x for lang, k in n.items() for x in (F.lit(lang), F.lit(min(1.0, per_lang / k)))])
-    drawn = rows.where(F.octet_length("text") <= max_bytes).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - max_chars + 1)) + 1
+    drawn = rows.where(place < share[F.col("lang")] * (1 << 20)).select("doc_id", "lang", F.substring(F.col("text"), start.cast("int"), F.lit(max_chars)).alias("text"))
     got = drawn.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * per_lang * len(n)).collect()
     return PpmModel.train({lang: [r.text.encode() for r in got if r.lang == lang] for lang in n})
 
 
-def predict(docs: DataFrame, model: PpmModel) -> DataFrame:
-    """All columns of ``docs`` and ``lang_pred``, ``score`` (posterior of the code lengths, 0 to 1), ``bits`` (a byte, of the best code).
-
-    A text that is null or has no letter is ``und`` with score 0 and null bits; so is
-    every text if no language was learned. Equal codes: the first language by name.
-    Extra columns stay as they are; columns of the three names are replaced.
-    """
-    spark = docs.sparkSession
-    kept = docs.drop("lang_pred", "score", "bits")
-    shared = spark.sparkContext.broadcast((model.langs, model.cls, model.state, model.bits))
+def _predict(docs: DataFrame, model: PpmModel) -> DataFrame:
+    """The columns of ``docs``, none of them named ``lang_pred``, ``score``, ``bits`` or ``excess``, and these four."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.cls, model.state, model.bits))
 
     def make():
         m = PpmModel(*shared.value)
@@ -183,7 +193,7 @@ def predict(docs: DataFrame, model: PpmModel) -> DataFrame:
             raw = texts(batch)
             use = [bool(m.langs) and t is not None and (t.isalpha() or any(map(str.isalpha, t))) for t in raw]
             data = [t.encode() if u else b"" for t, u in zip(raw, use, strict=True)]
-            lang, score, bits = ["und"] * len(raw), [0.0] * len(raw), [None] * len(raw)
+            lang, score, bits, excess = ["und"] * len(raw), [0.0] * len(raw), [None] * len(raw), [None] * len(raw)
             if m.langs:
                 cost = m.code_lengths(data)
                 best = cost.argmin(1)
@@ -191,18 +201,36 @@ def predict(docs: DataFrame, model: PpmModel) -> DataFrame:
                 post = 1 / np.exp2(np.maximum(low[:, None] - cost, -1000)).sum(1)
                 for i, u in enumerate(use):
                     if u:
-                        lang[i], score[i], bits[i] = m.langs[best[i]], float(post[i]), float(low[i] / len(data[i]))
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], names=[*batch.schema.names, "lang_pred", "score", "bits"])
+                        lang[i], score[i], bits[i], excess[i] = m.langs[best[i]], float(post[i]), float(low[i] / len(data[i])), float(low[i] - MAX_BITS * len(data[i]))
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), pa.array(excess, pa.float64())], names=[*batch.schema.names, "lang_pred", "score", "bits", "excess"])
 
         return work
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + ["lang_pred string", "score double", "bits double"])
-    return arrow_map(kept, make, schema)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["lang_pred string", "score double", "bits double", "excess double"])
+    return arrow_map(docs, make, schema)
+
+
+def predict(docs: DataFrame, model: PpmModel) -> DataFrame:
+    """All columns of ``docs`` and ``lang_pred``, ``score`` (posterior of the code lengths, 0 to 1), ``bits`` (a byte, of the best code).
+
+    A text that is null or has no letter is ``und`` with score 0 and null bits; so is
+    every text if no language was learned. Equal codes: the first language by name.
+    Every row is scored by itself, so repeated rows score alike, and an empty table gives none.
+    Extra columns stay as they are; columns of the three names are replaced.
+    """
+    rest = docs.drop("lang_pred", "score", "bits")
+    out = _predict(carried(rest, "text"), model)
+    return out.select(*restore_columns(rest, "text"), "lang_pred", "score", "bits")
 
 
 def identified(docs: DataFrame, model: PpmModel | None = None) -> DataFrame:
-    """The documents whose language is identified: not ``und``, and coded in at most ``MAX_BITS`` bits a byte."""
-    return predict(docs, model or fit(docs)).where(f"lang_pred <> 'und' and bits <= {MAX_BITS}").select(docs.columns)
+    """The documents whose language is identified, with their own columns only, whatever these are named.
+
+    ``und`` (null, empty or no letter) goes, and so does a text that no learned language
+    codes: more than ``MAX_BITS`` bits a byte and ``MAX_EXCESS`` bits over that rate in all.
+    """
+    known = _predict(carried(docs, "text"), model or fit(docs)).where(f"lang_pred <> 'und' and not (excess > {MAX_EXCESS})")
+    return restored(known, docs, "text")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,16 @@
-"""Licence scans: TF-IDF cosine of text lines to licence templates, and inheritance along directories.
+"""Licence scans: sparse TF-IDF cosine of headers and licence files to templates, and inheritance along directories.
 
-Everything on the path is DataFrame operations. A line is weighed only if the terms it
-holds could reach the threshold for some form, so no line that reaches it is lost. Inverse document frequencies
-come from the first forms (a fixed table); a term they lack has the highest.
+Everything on the path is DataFrame operations. What is compared with the templates are a
+file's units: its lines, the sentences in them, its blocks (lines up to one without letter or
+digit, joined), the comment it opens with, and, of a licence file, the whole text. A unit's
+weights are term counts times inverse document frequencies, which are counted over all
+files; a term that no template holds weighs as the mean of those that one does. A
+unit matches a template if the cosine reaches the threshold and they share two terms.
 
-A file's own licence is that of its best line. Files named like a licence file also
+Only units that hold a lead term are weighed: the heaviest terms of each template, as
+many as leave the rest a norm below the threshold, so no match can be lost.
+
+A file's own licence is that of its best unit. Files named like a licence file also
 declare it for their directory; every other file inherits from its nearest ancestor
 directory that has a declaration, found by joining directories to the ancestors of
 the distinct directories of all files.
@@ -12,151 +18,126 @@ the distinct directories of all files.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import settle
+from .licence_texts import forms
 
-#: Identifiers and the statements that name the licence in headers and licence files.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-}
-#: Statements of further licences.
-TEMPLATES |= {
-    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
-    "BSD-2-Clause": "Licensed under the BSD 2-Clause License.",
-    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
-    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
-    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "CC0-1.0": "Licensed under CC0 1.0.",
-    "EPL-2.0": "Licensed under the Eclipse Public License, version 2.0.",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
-    "ISC": "Released under the ISC License.",
-    "LGPL-2.1": "This library is licensed under the GNU Lesser General Public License, version 2.1.",
-    "Zlib": "Released under the zlib License.",
-}
-_CC = {"": "Attribution", "-NC": "Attribution-NonCommercial", "-NC-ND": "Attribution-NonCommercial-NoDerivatives", "-NC-SA": "Attribution-NonCommercial-ShareAlike", "-ND": "Attribution-NoDerivatives", "-SA": "Attribution-ShareAlike"}
-#: Second forms ``(licence, text)``; OP1_SQL knows the first forms only.
-FORMS = [(f"CC-BY{k}-4.0", f"This work is licensed under a Creative Commons {v} 4.0 International License.") for k, v in _CC.items() if k] + [(f"CC-BY{k}-3.0", f"Licensed under CC BY{k} 3.0.") for k in _CC] + [
-    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC0-1.0", "This work is dedicated to the public domain under the Creative Commons CC0 1.0 Universal License."),
-    ("MIT", "This project is licensed under the terms of the MIT License."),
-]
 THRESHOLD = 0.75
+#: Terms that a unit and a template share at least.
+SHARED = 2
 LICENCE_FILE = r"(^|/)(LICENSE|LICENCE|COPYING|NOTICE)[^/]*$"
+#: A term: letters and digits, with dots and hyphens inside; for Spark it never looks back, so a long one costs no stack.
+TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+_SPARK_TERM = r"[a-z0-9]++(?:[.-][a-z0-9]++)*+"
+SENTENCE = r"[.;:!?][ \t]+|\n"
+BLOCK = r"\n[^\p{L}\p{N}\n]*\n"
+COMMENT = r"^[ \t]*(#|//|/[*]|[*]|--|;|%|<!--)"
 
 
 def terms(text: str) -> list[str]:
-    return re.findall(r"[a-z0-9]+", text.lower())
+    return re.findall(TERM, text.lower())
 
 
-def _idf() -> tuple[dict[str, float], float]:
-    n = len(TEMPLATES)
-    df = Counter(t for x in TEMPLATES.values() for t in set(terms(x)))
-    return {t: math.log((1 + n) / (1 + k)) + 1 for t, k in df.items()}, math.log(1 + n) + 1
+def vocabulary() -> list[str]:
+    return sorted({t for _, text, _ in forms() for t in terms(text)})
 
 
-def _units(texts: list[tuple[str, str]]) -> list[list[tuple[str, str, float, float]]]:
-    """For each text (licence, term, unit weight, idf) of its terms."""
-    idf, top = _idf()
-    out = []
-    for name, text in texts:
-        w = {t: k * idf.get(t, top) for t, k in Counter(terms(text)).items()}
-        norm = math.sqrt(sum(x * x for x in w.values()))
-        out.append([(name, t, x / norm, idf.get(t, top)) for t, x in sorted(w.items())])
-    return out
+def _lower(c: Column) -> Column:
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def vectors() -> list[tuple[str, str, float, float]]:
-    """(licence, term, unit weight, idf) of the first forms."""
-    return [x for rows in _units(list(TEMPLATES.items())) for x in rows]
+def _terms(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit(_SPARK_TERM), F.lit(0))
 
 
-def _all_forms() -> list[list[tuple[str, str, float, float]]]:
-    return _units([*TEMPLATES.items(), *FORMS])
+def idf(files: DataFrame) -> tuple[dict[str, float], float]:
+    """Inverse document frequencies of the templates' terms over all files with a text, and the mean of them.
 
+    Counted before the shuffle; as many rows as the templates have terms reach the driver.
+    """
+    known = vocabulary()
+    there = files.where("text is not null")
+    found = there.select(F.explode(F.array_distinct(F.filter(_terms(_lower(F.col("text"))), lambda t: t.isin(*known)))).alias("term"))
+    df = {r.term: r.n for r in found.groupBy("term").agg(F.count("*").alias("n")).collect()}
+    n = there.count()
+    weights = {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in known}
+    return weights, sum(weights.values()) / len(weights)
 
-#: Words of the forms that prose often holds; they lead last.
-_COMMON = frozenset("0 1 2 3 4 a and by code form following in into is of or subject that the this to under use version with without work".split())
+
+def template_rows(weights: dict[str, float]) -> list[list[tuple]]:
+    """For each form the rows (form, licence, rank, size, term, unit weight)."""
+    out = []
+    for i, (name, text, rank) in enumerate(forms()):
+        w = {t: k * weights[t] for t, k in Counter(terms(text)).items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        out.append([(i, name, rank, len(w), t, x / norm) for t, x in sorted(w.items())])
+    return out
 
 
-def lead_terms(threshold: float = THRESHOLD) -> list[str]:
-    """For each form its rare terms, as many as leave the rest a norm below the threshold."""
+def lead_terms(templates: list[list[tuple]], threshold: float = THRESHOLD) -> list[str]:
+    """Of each template its heaviest terms, as many as leave the rest a norm below the threshold."""
     lead = set()
-    for rows in _all_forms():
+    for rows in templates:
         rest = 1.0
-        for _, t, w, _ in sorted(rows, key=lambda x: (x[1] in _COMMON, -x[2], x[1])):
+        for *_, term, w in sorted(rows, key=lambda x: (-x[5], x[4])):
             if math.sqrt(max(rest, 0)) < threshold - 1e-6:  # cosines are rounded to six digits
                 break
-            lead.add(t)
+            lead.add(term)
             rest -= w * w
     return sorted(lead)
 
 
-def _lower(c: Column) -> Column:
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def _weights(values: dict[str, float]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in sorted(values.items()) for x in pair])
-
-
-def _may_match(words: Column, threshold: float) -> Column:
-    """Whether a line's words can reach the threshold: the cosine is at most the norm of a form's terms among them."""
-    forms = _all_forms()
-    vocabulary = F.array(*[F.lit(t) for t in sorted({t for rows in forms for _, t, _, _ in rows})])
-    masses = [_weights({t: w * w for _, t, w, _ in rows}) for rows in forms]
-    enough = lambda held: reduce(Column.__or__, [_total(held, m) >= (threshold - 1e-6) ** 2 for m in masses])
-    return F.exists(F.array(F.array_intersect(words, vocabulary)), enough)
+def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A fixed small table as one literal."""
+    names = [x.split(": ")[0] for x in schema.split(", ")]
+    said = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(said), f"array<struct<{schema}>>")))
 
 
-def _total(terms: Column | str, weights: Column) -> Column:
-    return F.aggregate(terms, F.lit(0.0), lambda s, x: s + F.coalesce(F.try_element_at(weights, x), F.lit(0.0)))
+def units(path: Column, text: Column) -> Column:
+    """All units of a file, lower-cased, each once."""
+    low = _lower(text)
+    lines = F.split(low, "\n")
+    body = F.array_position(F.transform(lines, lambda x: x.rlike(COMMENT)), False)
+    opening = F.when(body == 0, low).otherwise(F.array_join(F.slice(lines, F.lit(1), F.greatest(body - 1, F.lit(0)).cast("int")), "\n"))
+    whole = F.when(path.rlike(LICENCE_FILE), F.array(low)).otherwise(F.expr("cast(array() as array<string>)"))
+    return F.array_distinct(F.concat(lines, F.split(low, SENTENCE), F.split(low, BLOCK), F.array(opening), whole))
 
 
 def own_licences(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``(path, licence, cosine)``: the best template of any line of each file that reaches the threshold; ties go to the first name.
+    """``(path, licence, cosine)``: the best template of any unit of each file that reaches the threshold.
 
-    A line is weighed within its row, so only lines that reach the threshold are shuffled.
+    A unit is of the template of highest cosine, then most terms, then first name; among the
+    units of a file, one that names a version goes before a family's name, then the same order
+    holds. Rows without path or text have none.
     """
-    lead = f"(?<![a-z0-9])(?:{'|'.join(lead_terms(threshold))})(?![a-z0-9])"
-    lines = files.where("text is not null").select("path", F.explode(F.split(_lower(F.col("text")), "\n")).alias("line")).where(F.col("line").rlike(lead))
-    words = lines.select("path", F.regexp_extract_all("line", F.lit("([a-z0-9]+)"), F.lit(1)).alias("terms")).where(_may_match(F.col("terms"), threshold))
-    _, top = _idf()
-    forms = _all_forms()
-    idf = {t: i for rows in forms for _, t, _, i in rows}
-    tables, known = [(rows[0][0], _weights({t: w * i for _, t, w, i in rows})) for rows in forms], _weights(idf)
-    # every occurrence adds its part to the dot products
-    near = words.withColumn("known", F.filter("terms", lambda x: F.array_contains(F.array(*[F.lit(t) for t in sorted(idf)]), x)))
-    dots = F.array(*[F.struct(F.lit(n).alias("licence"), _total("known", w).alias("dot")) for n, w in tables])
-    # the i-th occurrence of a term adds (2i - 1) idf^2 to the squared norm: all n of them n^2 idf^2
-    start = F.struct(F.lit("").alias("t"), F.lit(0).alias("i"), F.lit(0.0).alias("s"))
-
-    def step(acc: Column, x: Column) -> Column:
-        i = F.when(acc["t"] == x, acc["i"] + 1).otherwise(F.lit(1))
-        w = F.coalesce(F.try_element_at(known, x), F.lit(top))
-        return F.struct(x.alias("t"), i.alias("i"), (acc["s"] + (2 * i - 1) * w * w).alias("s"))
-
-    norm = F.sqrt(F.aggregate(F.sort_array("terms"), start, step, lambda acc: acc["s"]))
-    scored = near.select("path", dots.alias("dots"), norm.alias("norm"))
-    best = scored.select("path", F.array_min(F.transform("dots", lambda d: F.struct((-F.round(d["dot"] / F.col("norm"), 6)).alias("c"), d["licence"].alias("licence")))).alias("b")).where(F.col("b.c") <= -threshold)
-    return best.groupBy("path").agg(F.min("b").alias("b")).select("path", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"))
+    spark = files.sparkSession
+    weights, other = idf(files)
+    templates = template_rows(weights)
+    lead = f"(?<![a-z0-9])(?:{'|'.join(map(re.escape, lead_terms(templates, threshold)))})(?![a-z0-9])"
+    there = files.where("path is not null and text is not null").where(_lower(F.col("text")).rlike(lead))
+    found = there.select("path", F.explode(units(F.col("path"), F.col("text"))).alias("unit")).where(F.col("unit").rlike(lead))
+    known = F.broadcast(_table(spark, sorted(weights.items()), "term: string, idf: double"))
+    counts = found.select("path", F.xxhash64("unit").alias("u"), F.explode(_terms(F.col("unit"))).alias("term")).groupBy("path", "u", "term").agg(F.count("*").alias("n"))
+    w = F.col("n") * F.coalesce("idf", F.lit(other))
+    weighed = counts.join(known, "term", "left").groupBy("path", "u").agg(
+        F.sqrt(F.sum(w * w)).alias("norm"),
+        F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", w.alias("w")))).alias("held"),  # the templates' terms only
+    )
+    table = F.broadcast(_table(spark, [r for rows in templates for r in rows], "form: int, licence: string, rank: int, size: int, term: string, weight: double"))
+    held = weighed.where(F.size("held") >= SHARED).select("path", "u", "norm", F.inline("held"))
+    dots = held.join(table, "term").groupBy("path", "u", "norm", "form", "licence", "rank", "size").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"), F.count("*").alias("n"))
+    near = dots.where(f"n >= {SHARED}").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= threshold)
+    named = near.groupBy("path", "u").agg(F.min(F.struct((-F.col("cosine")).alias("c"), (-F.col("size")).alias("s"), "licence", "rank")).alias("b")).select("path", "b.*")
+    best = named.groupBy("path").agg(F.min(F.struct("rank", "c", "s", "licence")).alias("b"))
+    return best.select("path", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"))
 
 
 def _folder(path: Column) -> Column:
@@ -167,20 +148,21 @@ def _folder(path: Column) -> Column:
 def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(path, own_licence, cosine, licence, from_dir)`` for each row of ``files(path, text)``.
 
-    own_licence and cosine: the file's best line (null if none). licence: that, or the
+    own_licence and cosine: the file's best unit (null if none). licence: that, or the
     declaration of the nearest ancestor directory (from_dir), or null. In a directory with
     several licence files the highest cosine declares, then the first path. A null path
-    inherits nothing and a null text has no licence. Rows of one path share the best
-    licence of all of them. Extra columns are not read.
+    inherits nothing and a null or empty text has no licence. Rows of one path share the best
+    licence of all of them. An empty table gives none. Extra columns are not read.
     """
     rows = files.select("path", "text")
-    own = settle(own_licences(rows.where("path is not null"), threshold), "licences")  # texts are read once
+    own = settle(own_licences(rows, threshold), "licences")
     declared = own.where(F.col("path").rlike(LICENCE_FILE)).select(_folder(F.col("path")).alias("dir"), "path", "licence", "cosine")
     declared = declared.groupBy("dir").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "path", "licence")).alias("d")).select("dir", F.col("d.licence").alias("licence"))
     paths = rows.select("path", _folder(F.col("path")).alias("dir"))
     dirs = paths.where("dir is not null").select("dir").distinct()
     parts = F.split("dir", "/")
-    ups = dirs.select("dir", F.explode(F.when(F.col("dir") == "", F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))))).alias("up"))
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    ups = dirs.select("dir", F.explode(F.when(F.col("dir") == "", F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), above))).alias("up"))
     near = ups.join(declared.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max_by(F.struct("up", "licence"), F.length("up")).alias("n"))
     joined = paths.join(own.withColumnRenamed("licence", "own_licence"), "path", "left").join(near, "dir", "left")
     return joined.select("path", "own_licence", "cosine", F.coalesce("own_licence", "n.licence").alias("licence"), F.when(F.col("own_licence").isNull(), F.col("n.up")).alias("from_dir"))
@@ -198,26 +180,34 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    rows = ", ".join(f"('{a}', '{b}', {c!r}::DOUBLE)" for a, b, c, _ in vectors())
-    idf, top = _idf()
-    known = ", ".join(f"('{t}', {x!r}::DOUBLE)" for t, x in sorted(idf.items()))
+    rows = ", ".join(f"({i}, '{name}', {rank}, '{t}', {n})" for i, (name, text, rank) in enumerate(forms()) for t, n in sorted(Counter(terms(text)).items()))
     path = PATH_SQL.replace(" div ", " // ").replace("as string", "as varchar")
+    sentence, block = SENTENCE.replace("\\t", "\t").replace("\\n", "\n"), BLOCK.replace("\\n", "\n")
     return f"""
-WITH t(licence, term, weight) AS (VALUES {rows}), k(term, idf) AS (VALUES {known}),
-files AS (SELECT {path} AS path, text FROM documents),
-lines AS (SELECT DISTINCT path, line FROM (SELECT path, unnest(string_split(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10))) AS line FROM files WHERE path IS NOT NULL)),
-counts AS (SELECT path, line, term, count(*) AS n FROM (SELECT path, line, unnest(regexp_extract_all(line, '[a-z0-9]+')) AS term FROM lines) GROUP BY ALL),
-w AS (SELECT c.*, n * coalesce(idf, {top!r}::DOUBLE) AS w FROM counts c LEFT JOIN k ON c.term = k.term),
-norms AS (SELECT path, line, sum(w * w) AS norm FROM w GROUP BY ALL),
-dots AS (SELECT w.path, w.line, t.licence, sum(w.w * t.weight) AS dot FROM w JOIN t ON w.term = t.term GROUP BY ALL),
-best AS (SELECT d.path, d.licence, max(round(dot / sqrt(norm), 6)) AS cosine FROM dots d JOIN norms n ON d.path = n.path AND d.line = n.line GROUP BY ALL HAVING max(round(dot / sqrt(norm), 6)) >= {THRESHOLD}),
-own AS (SELECT path, licence, cosine FROM best QUALIFY row_number() OVER (PARTITION BY path ORDER BY cosine DESC, licence) = 1),
+WITH raw(form, licence, rank, term, tf) AS (VALUES {rows}),
+files AS (SELECT {path} AS path, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+total AS (SELECT count(text) AS n FROM files),
+held AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(low, '{TERM}'))) AS term FROM files) GROUP BY term),
+k AS (SELECT term, ln((1 + n)::DOUBLE / (1 + coalesce(df, 0))) + 1 AS idf FROM (SELECT DISTINCT term FROM raw) LEFT JOIN held USING (term), total),
+other AS (SELECT avg(idf) AS idf FROM k),
+t AS (SELECT form, licence, rank, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY form)) AS weight, count(*) OVER (PARTITION BY form) AS size FROM raw JOIN k USING (term)),
+cut AS (SELECT path, low, string_split(low, chr(10)) AS lines, regexp_matches(path, '{LICENCE_FILE}') AS lic FROM files WHERE path IS NOT NULL AND low IS NOT NULL),
+opened AS (SELECT *, list_position([regexp_matches(x, '{COMMENT}') FOR x IN lines], false) AS body FROM cut),
+units AS (SELECT DISTINCT path, unnest(list_concat(lines, regexp_split_to_array(low, '{sentence}'), regexp_split_to_array(low, '{block}'),
+  [CASE WHEN body IS NULL OR body = 0 THEN low ELSE array_to_string(lines[1 : body - 1], chr(10)) END], CASE WHEN lic THEN [low] ELSE [] END)) AS unit FROM opened),
+counts AS (SELECT path, unit, term, count(*) AS n FROM (SELECT path, unit, unnest(regexp_extract_all(unit, '{TERM}')) AS term FROM units) GROUP BY ALL),
+w AS (SELECT c.*, n * coalesce(k.idf, other.idf) AS w FROM counts c LEFT JOIN k USING (term), other),
+norms AS (SELECT path, unit, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
+dots AS (SELECT w.path, w.unit, t.form, t.licence, t.rank, t.size, sum(w.w * t.weight) AS dot, count(*) AS n FROM w JOIN t ON w.term = t.term GROUP BY ALL),
+near AS (SELECT d.*, round(dot / norm, 6) AS cosine FROM dots d JOIN norms USING (path, unit) WHERE n >= {SHARED} AND round(dot / norm, 6) >= {THRESHOLD}),
+named AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY path, unit ORDER BY cosine DESC, size DESC, licence, rank) = 1),
+own AS (SELECT path, licence, cosine FROM named QUALIFY row_number() OVER (PARTITION BY path ORDER BY rank, cosine DESC, size DESC, licence) = 1),
 declared AS (SELECT dir, licence FROM (SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, * FROM own WHERE regexp_matches(path, '{LICENCE_FILE}')) QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, path) = 1),
 paths AS (SELECT path, regexp_replace(path, '/?[^/]*$', '') AS dir FROM files),
-near AS (SELECT p.dir, d.dir AS up, d.licence FROM (SELECT DISTINCT dir FROM paths WHERE dir IS NOT NULL) p JOIN declared d ON d.dir = '' OR p.dir = d.dir OR starts_with(p.dir, d.dir || '/')
+near_dir AS (SELECT p.dir, d.dir AS up, d.licence FROM (SELECT DISTINCT dir FROM paths WHERE dir IS NOT NULL) p JOIN declared d ON d.dir = '' OR p.dir = d.dir OR starts_with(p.dir, d.dir || '/')
          QUALIFY row_number() OVER (PARTITION BY p.dir ORDER BY length(d.dir) DESC) = 1)
 SELECT p.path, o.licence AS own_licence, o.cosine, coalesce(o.licence, n.licence) AS licence, CASE WHEN o.licence IS NULL THEN n.up END AS from_dir
-FROM paths p LEFT JOIN own o ON p.path = o.path LEFT JOIN near n ON p.dir = n.dir
+FROM paths p LEFT JOIN own o ON p.path = o.path LEFT JOIN near_dir n ON p.dir = n.dir
 """
 
 

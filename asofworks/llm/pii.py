@@ -15,29 +15,32 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_map, texts
+from .common import arrow_map, carried, restore_columns, texts
 
 KINDS = ("email", "ip", "card", "phone")
-#: Tokens of the longest segment, tokens of context left and right of a trigger.
-MAX_TOKENS = 40
+#: Tokens of the longest segment, and scored spans that a worker keeps.
+MAX_TOKENS, KNOWN = 40, 50_000
 
 # The base patterns, fixed by the contract.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: The same matches without a second look at a run of digits: a match can only start where its run of digits starts.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|.", re.S)
-SPELLED = re.compile(r"\s?(?:\[at\]|\(at\)|\sat\s)\s?", re.I)
-TRIGGER = re.compile(r"[0-9@]")
+#: What a segment holds at least: digits, an at sign, or "at" or "dot" in brackets or between spaces (ASCII letters of either case).
+TRIGGER = re.compile(r"[0-9]+|@|[\[(][aA][tT][\])]|[\[(][dD][oO][tT][\])]|(?<=\s)[aA][tT](?=\s)|(?<=\s)[dD][oO][tT](?=\s)")
+BREAK = re.compile(r"[ \n]")
 OBFUSCATED = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]+(?: ?(?:\[dot\]|\(dot\)| dot |\.) ?[A-Za-z0-9-]+)+", re.I)
 
 
@@ -113,25 +116,19 @@ def features(text: str, a: int, b: int) -> list[str]:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches that hold every possible segment: words with triggers and what joins them."""
-    marks = [m.start() for m in TRIGGER.finditer(text)]
-    low = text if text.islower() else text.lower() if len(text.lower()) == len(text) else text
-    for cue in ("[at]", "(at)", " dot "):
-        at = low.find(cue)
-        while at >= 0:
-            marks += [at, at + len(cue) - 1]
-            at = low.find(cue, at + 1)
+    """Stretches that hold every possible segment: words with triggers (a digit, an at sign, a spelled-out at or dot) and what joins them."""
+    found = [(m.start(), m.end(), m.group() if m.group().isdigit() or m.group() == "@" else "") for m in TRIGGER.finditer(text)]
+    breaks = [m.start() for m in BREAK.finditer(text)] if found else []
     out: list[list[int]] = []
-    for m in sorted(marks):
-        if out and m < out[-1][1]:
+    for first, end, plain in found:
+        if plain and out and end <= out[-1][1]:
             continue
-        spelled = not (text[m].isdigit() or text[m] == "@")
-        a = b = m
-        for _ in range(3 if spelled else 1):  # a spelled address reaches over spaces
-            a = max(text.rfind(" ", 0, max(a - 1, 0)), text.rfind("\n", 0, max(a - 1, 0))) + 1 if a else 0
-            ends = [e for e in (text.find(" ", b + 1), text.find("\n", b + 1)) if e >= 0]
-            b = min(ends) if ends else len(text)
-        a = min(a, m)
+        a, b = first, end - 1
+        for _ in range(1 if plain else 3):  # a spelled address reaches over spaces
+            before, after = bisect_left(breaks, max(a - 1, 0)) - 1, bisect_left(breaks, b + 1)
+            a = breaks[before] + 1 if before >= 0 else 0
+            b = breaks[after] if after < len(breaks) else len(text)
+        a = min(a, first)
         if out and a <= out[-1][1] + 1:
             out[-1][1] = max(b, out[-1][1])
         else:
@@ -158,7 +155,8 @@ def segments(text: str, a: int, b: int) -> tuple[list[int], list[tuple[int, int]
     for i in firsts:
         while start < len(lasts) and lasts[start] <= i:
             start += 1
-        for j in lasts[start:]:
+        for at in range(start, len(lasts)):
+            j = lasts[at]
             if j - i > MAX_TOKENS:
                 break
             if 4 <= digits[j] - digits[i] <= 20 or marks[j] - marks[i] == 1:
@@ -171,6 +169,21 @@ class SemiCrf:
 
     def __init__(self, weights: dict[str, tuple[float, ...]] | None = None):
         self.weights = weights or {}
+        #: Best kind and score by span and neighbours; cleared when full, so repeated passages cost one look-up a segment.
+        self.known: dict[tuple[str, str, str], tuple[int, float]] = {}
+
+    def best(self, text: str, a: int, b: int) -> tuple[int, float]:
+        """The best kind of text[a:b] and its score, which depend on the span and the characters beside it only."""
+        key = (text[a - 1 : a] if a else "", text[a:b], text[b : b + 1])
+        if (got := self.known.get(key)) is None:
+            s = self.scores(features(text, a, b))
+            k = max(range(len(KINDS)), key=s.__getitem__)
+            got = k, s[k]
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            if b - a <= 80:
+                self.known[key] = got
+        return got
 
     def scores(self, names: list[str]) -> list[float]:
         total = [0.0] * len(KINDS)
@@ -186,10 +199,9 @@ class SemiCrf:
             return []
         ending: dict[int, list[tuple[int, float, int]]] = {}
         for i, j in found:
-            s = self.scores(features(text, cuts[i], cuts[j]))
-            k = max(range(len(KINDS)), key=s.__getitem__)
-            if s[k] > 0:
-                ending.setdefault(j, []).append((i, s[k], k))
+            k, s = self.best(text, cuts[i], cuts[j])
+            if s > 0:
+                ending.setdefault(j, []).append((i, s, k))
         best, back = [0.0] * len(cuts), [None] * len(cuts)
         for j in range(1, len(cuts)):
             best[j] = best[j - 1]
@@ -292,9 +304,13 @@ def all_spans(text: str, field: SemiCrf, base: list[tuple[str, int, int]] | None
     """Base spans and the field's spans that overlap none of them, by start, then kind."""
     base = base_spans(text) if base is None else base
     found = list(base)
-    for a, b in regions(text):
+    reach, at = -1, 0  # the furthest end of base spans that start before the field's span
+    for a, b in regions(text):  # regions and their spans come in order, so one pass over the base spans is enough
         for kind, x, y in field.decode(text, a, b):
-            if all(y <= s or x >= e for _, s, e in base):
+            while at < len(base) and base[at][1] < y:
+                reach = max(reach, base[at][2])
+                at += 1
+            if reach <= x:
                 found.append((kind, x, y))
     return sorted(set(found), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
@@ -307,10 +323,12 @@ def find(docs: DataFrame, field: SemiCrf | None = None) -> DataFrame:
     """All columns of ``docs`` and counts of base spans by kind, ``base_sha256`` and ``spans``.
 
     Spans are kind:start:end in code points, end exclusive, by start and then kind. A null
-    text is empty. Extra columns stay; columns of these names are replaced.
+    text is empty: no spans. Each row is scanned whole and by itself, so repeated rows get the
+    same spans and an empty table none. Extra columns stay; columns of these names are replaced.
     """
     names = [f"n_{k}" for k in KINDS]
-    kept = docs.drop(*names, "base_sha256", "spans")
+    rest = docs.drop(*names, "base_sha256", "spans")
+    kept = carried(rest, "text")
     sent = docs.sparkSession.sparkContext.broadcast((field or trained()).weights)
 
     def make():
@@ -330,7 +348,7 @@ def find(docs: DataFrame, field: SemiCrf | None = None) -> DataFrame:
         return work
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + [f"{n} long" for n in names] + ["base_sha256 string", "spans string"])
-    return arrow_map(kept, make, schema)
+    return arrow_map(kept, make, schema).select(*restore_columns(rest, "text"), *names, "base_sha256", "spans")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
