@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, held, texts
+from .common import arrow_map, carried, held, restore_columns, texts
 
-#: Pre-tokens in the broadcast table, documents it is drawn from (and bytes of one), entries of a worker's cache.
-FREQUENT, SAMPLE_DOCS, SAMPLE_BYTES, CACHE = 60_000, 2_000, 65_536, 300_000
+#: Pre-tokens in the broadcast table, documents it is drawn from (and characters of one's excerpt), characters that the pre-tokens in a worker's cache have together at most, and characters of the longest one kept.
+FREQUENT, SAMPLE_DOCS, SAMPLE_CHARS, CACHE_CHARS, LONGEST = 20_000, 600, 20_000, 4_000_000, 64
 
 #: Code points up to here (and general punctuation) have had the same categories in all Unicode versions in use; other texts are split by the tokenizer's own pre-tokenizer.
 PLAIN = 0x24F
@@ -38,17 +38,21 @@ ODD = re.compile(f"[^\x00-{chr(PLAIN)} - ]|[\x1c-\x1f]|[ⁱ⁰]")
 
 
 class Lengths(dict):
-    """Pre-token to token count; a missing one is encoded and kept while there is room."""
+    """Pre-token to token count; a missing one is encoded, and kept if it is short and there is room."""
 
-    def __init__(self, frequent: dict[str, int], tokenizer, room: int = CACHE):
+    def __init__(self, frequent: dict[str, int], tokenizer, room: int = CACHE_CHARS):
         super().__init__(frequent)
-        self.frequent, self.tokenizer, self.limit = frequent, tokenizer, len(frequent) + room
+        self.frequent, self.tokenizer, self.room, self.used = frequent, tokenizer, room, 0
 
     def __missing__(self, token: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-            self.update(self.frequent)
-        self[token] = n = len(self.tokenizer.encode(token, add_special_tokens=False).ids)
+        n = len(self.tokenizer.encode(token, add_special_tokens=False).ids)
+        if len(token) <= LONGEST:
+            if self.used + len(token) > self.room:
+                self.clear()
+                self.update(self.frequent)
+                self.used = 0
+            self[token] = n
+            self.used += len(token) + 8  # so that the number of entries is bounded too
         return n
 
 
@@ -85,18 +89,23 @@ class Counter:
         return len(parts) - 1 + sum(sum(map(get, self.split(p))) for p in parts)
 
 
-def frequent_lengths(docs: DataFrame, path: str, k: int = FREQUENT, sample: int = SAMPLE_DOCS, max_bytes: int = SAMPLE_BYTES) -> dict[str, int]:
+def frequent_lengths(docs: DataFrame, path: str, k: int = FREQUENT, sample: int = SAMPLE_DOCS, max_chars: int = SAMPLE_CHARS) -> dict[str, int]:
     """The first tier: lengths of the most frequent pre-tokens of a bounded sample.
 
-    Each document of at most ``max_bytes`` is drawn with the same chance by a hash of its text,
-    ``sample`` of them expected, so no task gathers more than it drew itself.
+    ``sample`` documents are expected, drawn with the same chance by a hash of all their
+    columns but the text (so copies of one text do not come together) and at most twice as many; of a
+    long one an excerpt from a place drawn likewise. The sample only decides which pre-tokens are found at
+    once, never a count.
     """
     from collections import Counter as Bag
 
     counter, bag = Counter(path), Bag()
     share = min(1.0, sample / max(1, docs.count()))
-    drawn = docs.where(F.octet_length("text") <= max_bytes).where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
-    for r in drawn.select("text").toLocalIterator():
+    names = [F.col(f"`{f.name}`") for f in docs.schema if f.name != "text" and f.dataType.typeName() not in ("map", "variant")]
+    place = F.xxhash64(*names) if names else F.xxhash64("text")
+    start = F.pmod(F.shiftright(place, 24), F.greatest(F.lit(1), F.length("text") - max_chars + 1)) + 1
+    drawn = docs.where(F.pmod(place, F.lit(1 << 20)) < share * (1 << 20)).select(F.substring(F.col("text"), start.cast("int"), F.lit(max_chars)).alias("text"))
+    for r in drawn.where("text is not null").limit(2 * sample).toLocalIterator():
         bag.update(counter.split(r.text))
     return {t: counter.lengths[t] for t, _ in sorted(bag.items(), key=lambda x: (-x[1], x[0]))[:k]}
 
@@ -104,10 +113,12 @@ def frequent_lengths(docs: DataFrame, path: str, k: int = FREQUENT, sample: int
 def count_tokens(docs: DataFrame, path: str, frequent: dict[str, int] | None = None) -> DataFrame:
     """All columns of ``docs`` and ``n_bytes``, ``n_tokens``. A null text counts as empty: 0 and 0.
 
-    Extra columns stay; columns of the two names are replaced. ``path`` must be readable
-    on every node, as installed vocabularies are.
+    Each row is counted whole and by itself: repeated rows count alike, and an empty table
+    gives none. Extra columns stay; columns of the two names are replaced. ``path`` must be
+    readable on every node, as installed vocabularies are.
     """
-    kept = docs.drop("n_bytes", "n_tokens")
+    rest = docs.drop("n_bytes", "n_tokens")
+    kept = carried(rest, "text")
     sent = docs.sparkSession.sparkContext.broadcast(frequent if frequent is not None else frequent_lengths(docs, path))
 
     def make():
@@ -121,7 +132,7 @@ def count_tokens(docs: DataFrame, path: str, frequent: dict[str, int] | None = N
         return work
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + ["n_bytes long", "n_tokens long"])
-    return arrow_map(kept, make, schema)
+    return arrow_map(kept, make, schema).select(*restore_columns(rest, "text"), "n_bytes", "n_tokens")
 
 
 def _counter(path: str, sent) -> Counter:
