@@ -93,6 +93,8 @@ def _probe(keys: pa.Table, filters: pa.Table) -> pa.Table:
 
 def _update(keys: pa.Table, filters: pa.Table) -> pa.Table:
     """A shard's filter after its keys' counts went from ``was`` to ``n_docs``."""
+    if not len(keys):  # a shard that the batch does not touch stays as it is
+        return filters.slice(0, 0)
     h, was, now = (keys.column(c).to_numpy() for c in ("h1", "was", "n_docs"))
     f = _open(filters, int((now > 0).sum()))
     f.delete(h[(was > 0) & (now == 0)])
