@@ -112,6 +112,17 @@ def release(spark: SparkSession) -> int:
     return len(held)
 
 
+#: Parts that a salted join splits each key into.
+SALTS = 8
+
+
+def salted(big: DataFrame, small: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small``, which has one row a key: a key's rows are dealt over ``SALTS`` parts by ``by`` and its row is sent to each, so one hot key is not one task."""
+    one = big.withColumn("salt_", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    two = small.withColumn("salt_", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
+    return one.join(two, [*on, "salt_"], how).drop("salt_")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or with underlines behind it: a name no column of ``df`` has (case aside)."""
     taken = {c.lower() for c in df.columns}

@@ -10,13 +10,15 @@ bucket no pairs are listed. First every class is compared with one centre of the
 the class with the most company over all its buckets; what those links join needs no
 comparison. Classes of a bucket that are still apart (far copies in a large group) meet
 through an exact prefix filter: two sets of the wanted similarity must share one of the
-rarest shingles of each, and far copies differ in just those. All links are confirmed on
-full shingle sets.
+rarest shingles of each, and far copies differ in just those. Where a rare shingle is
+held by few sets its pairs are joined; where many sets hold it (a template's pages, all just
+below the threshold), they are cut into blocks, and a task compares two blocks whole
+and gives back no more than a tree of the links between them, never the pairs. All links
+are confirmed on full shingle sets.
 """
 
 from __future__ import annotations
 
-
 import math
 
 import numpy as np
@@ -25,18 +27,29 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, arrow_map, column, discard, held, settle, texts
+from .common import ASCII_LOWER, arrow_map, column, discard, fresh, held, salted, settle, texts
 from .components import connected_components
 
 WORDS, PERCENT = 3, 85
-#: A pair at the threshold shares no band with probability (1 - 0.85**ROWS)**BANDS, below 3e-7.
-BANDS, ROWS = 32, 6
+#: The chance that a pair at the threshold shares no band, coordinates of a signature and rows of a band at most.
+MISS, COORDINATES, ROWS = 3.3e-7, 320, 6
+#: Sets that a rare shingle's pairs are joined for; sets of a block, and shingles of one, expected.
+JOINED, BLOCK, BLOCK_SHINGLES = 64, 256, 1 << 20
 #: Places of the table of shingle counts that orders shingles by rarity (broadcast, two megabytes).
 COUNTERS = 1 << 18
 UNIVERSE, SEED = 1 << 21, 20240601
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows) for a threshold: a pair at it is missed with probability (1 - s**rows)**bands, at most MISS; the most rows that COORDINATES allow."""
+    s = percent / 100
+    for rows in range(ROWS, 0, -1):
+        bands = math.ceil(math.log(MISS) / math.log1p(-(s**rows)))
+        if bands * rows <= COORDINATES or rows == 1:
+            return bands, rows
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _M2
     x = (x ^ (x >> np.uint64(29))) * _M3
@@ -59,7 +72,7 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
 class CirculantMinHash:
     """Signatures of ``bands * rows`` coordinates from two permutations, folded to band hashes."""
 
-    def __init__(self, bands: int = BANDS, rows: int = ROWS, universe: int = UNIVERSE, seed: int = SEED):
+    def __init__(self, bands: int, rows: int, universe: int = UNIVERSE, seed: int = SEED):
         rng = np.random.default_rng(seed)
         self.bands, self.rows, self.universe = bands, rows, universe
         self.first = rng.permutation(universe).astype(np.int32)
@@ -87,7 +100,7 @@ def _hasher(*key) -> CirculantMinHash:
     return held(("minhash", *key), lambda: CirculantMinHash(*key))
 
 
-def sketch(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def sketch(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     """``(doc_id, n_shingles, c1, c2, bands)``: c1 and c2 name the shingle set; bands is empty for an empty set."""
 
     def make():
@@ -197,42 +210,126 @@ def _meetings(rare: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def _tree(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
+    """A forest with the components of the links."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = y
+        return x
+
+    out = []
+    for a, b in zip(u.tolist(), v.tolist(), strict=True):
+        a, b = root(a), root(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            out.append((min(a, b), max(a, b)))
+    return out
+
+
+def intersections(one: list[np.ndarray], two: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets of one block with all of the other, as products of 0/1 matrices over ``chunk`` common shingles at a time."""
+    out = np.zeros((len(one), len(two)), np.float32)
+    grams = [np.concatenate(x) for x in (one, two)]
+    common = np.intersect1d(*map(np.unique, grams))
+    sides = []
+    for sets, g in zip((one, two), grams, strict=True):
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.searchsorted(common, g)
+        at[at == len(common)] = 0
+        hit = common[at] == g if len(common) else np.zeros(len(g), bool)
+        row, at = row[hit], at[hit]
+        order = np.argsort(at, kind="stable")
+        sides.append((row[order], at[order], len(sets)))
+    for start in range(0, len(common), chunk):
+        m = []
+        for row, at, n in sides:
+            a, b = np.searchsorted(at, (start, start + chunk))
+            x = np.zeros((n, chunk), np.float32)
+            x[row[a:b], at[a:b] - start] = 1
+            m.append(x)
+        out += m[0] @ m[1].T
+    return out
+
+
+def _compare(percent: int):
+    """Links between two blocks of sets that hold one rare shingle, as a tree."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        i, j = (x.as_py() for x in key[1:])
+        rows = rows.combine_chunks()
+        block, ids, part, minor, n, pos = (rows.column(c).to_numpy() for c in ("blk", "id", "part", "minor", "n", "pos"))
+        a = np.flatnonzero(block == i)
+        b = a if i == j else np.flatnonzero(block == j)
+        left, size = np.minimum((n - pos)[a][:, None], (n - pos)[b][None, :]), n[a][:, None] + n[b][None, :]
+        wanted = (part[a][:, None] != part[b][None, :]) & (minor[a][:, None] | minor[b][None, :]) & ((100 + percent) * left >= percent * size)
+        u, v = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        one, two = np.flatnonzero(wanted.any(1)), np.flatnonzero(wanted.any(0))
+        if len(one):
+            grams = rows.column("grams").chunk(0)
+            sets = lambda at: [grams[int(k)].values.to_numpy() for k in at]
+            shared = intersections(sets(a[one]), sets(b[two])).astype(np.int64)
+            x, y = np.nonzero(wanted[np.ix_(one, two)] & (100 * shared >= percent * (size[np.ix_(one, two)] - shared)))
+            u, v = ids[a[one[x]]], ids[b[two[y]]]
+        tree = _tree(u, v)
+        return pa.table({"u": pa.array([x for x, _ in tree], pa.int64()), "v": pa.array([y for _, y in tree], pa.int64())})
+
+    return run
+
+
+def _crowded(rare: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of ``rare(id, part, minor, n, pos, gram, many, mass)``, compared block by block; ``many`` sets with ``mass`` shingles hold the row's shingle."""
+    m = F.greatest(F.ceil(F.col("many") / BLOCK), F.ceil(F.col("mass") / BLOCK_SHINGLES)).cast("int")
+    dealt = rare.withColumn("m", m).withColumn("blk", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    pairs = pairs.select("id", "part", "minor", "n", "pos", "gram", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk")
+    spark = rare.sparkSession
+    full = pairs.join(sets, "id").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "gram", "i", "j")
+    return full.groupBy("gram", "i", "j").applyInArrow(_compare(percent), "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """All rows of ``docs`` as ``(doc_id, c1, c2, n_shingles, component_id, kept)``.
 
     Documents whose shingle sets have a similarity of at least ``percent`` in a hundred are
-    linked; component_id is the smallest doc_id reachable. A document without words has
-    an empty set and is its own component. Rows of one doc_id share a component. A row
-    without doc_id links with nothing: its component_id is null and it is kept. Extra
-    columns are not read.
+    linked (bands are derived from it, see :func:`banding`); component_id is the smallest
+    doc_id reachable. A document without words (null, empty or white space) has an empty set
+    and is its own component. Rows of one doc_id share a component. A row without doc_id
+    links with nothing: its component_id is null and it is kept. Whole texts are compared,
+    however long; an empty table gives none. Extra columns are not read.
     """
     if not 50 <= percent < 100:
         raise ValueError("percent must be from 50 to 99")
-    table = settle(sketch(docs, words, bands, rows), "sketch")
+    table = settle(sketch(docs, words, *banding(percent)), "sketch")
     there = table.where("n_shingles > 0 and doc_id is not null")
     classes = settle(there.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")), "classes")
     firsts = there.join(classes.withColumnRenamed("rep", "doc_id"), ["c1", "c2", "doc_id"]).select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
-    spread = firsts.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("key")
-    held = settle(firsts.join(spread, "key"), "buckets")
-    sizes = held.groupBy("key").agg(F.count("*").alias("n"))
-    company = settle(held.join(sizes, "key").groupBy("rep").agg(F.sum("n").alias("company")), "company")
-    centres = held.join(company, "rep").groupBy("key").agg(F.max(F.struct("company", (-F.col("rep")).alias("r"))).alias("c")).select("key", (-F.col("c.r")).alias("centre"))
-    stars = held.join(centres, "key").where("rep <> centre").select(F.least("rep", "centre").alias("u"), F.greatest("rep", "centre").alias("v")).distinct()
+    spread = firsts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = settle(salted(firsts, spread, ["key"], "rep"), "buckets")
+    company = settle(buckets.groupBy("rep").agg(F.sum("n").alias("company")), "company")
+    centres = buckets.join(company, "rep").groupBy("key").agg(F.max(F.struct("company", (-F.col("rep")).alias("r"))).alias("c")).select("key", (-F.col("c.r")).alias("centre"))
+    stars = salted(buckets, centres, ["key"], "rep").where("rep <> centre").select(F.least("rep", "centre").alias("u"), F.greatest("rep", "centre").alias("v")).distinct()
     stars = settle(stars, "stars")
     sets = settle(_sets(docs, company.select(F.col("rep").alias("id")), words), "sets")
     links = verify(sets, stars, percent)
     parts = settle(connected_components(links), "parts")
-    named = settle(held.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part")), "named")
+    named = settle(buckets.select("key", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part")), "named")
     counts = named.groupBy("key", "part").agg(F.count("*").alias("n"))
     mixed = counts.groupBy("key").agg(F.max(F.struct("n", "part")).alias("m"), F.count("*").alias("k")).where("k > 1").select("key", F.col("m.part").alias("main"))
     # a class is minor if it is outside the largest part of some bucket; a pair that is still apart has a minor side
-    apart = settle(named.join(mixed, "key").groupBy(F.col("rep").alias("id"), "part").agg(F.max(F.col("part") != F.col("main")).alias("minor")), "apart")
+    apart = settle(salted(named, mixed, ["key"], "rep").groupBy(F.col("rep").alias("id"), "part").agg(F.max(F.col("part") != F.col("main")).alias("minor")), "apart")
     rare = settle(_prefixes(sets.join(apart.select("id"), "id", "left_semi"), percent).join(apart, "id"), "prefixes")
-    rest = _meetings(rare, percent).join(stars, ["u", "v"], "left_anti")
+    often = rare.groupBy("gram").agg(F.count("*").alias("many"), F.sum("n").alias("mass"), F.max("minor").alias("some"), F.min("part").alias("p0"), F.max("part").alias("p1"))
+    often = settle(often.where("some and p0 <> p1"), "grams")  # the others have no pair
+    few = rare.join(often.where(f"many <= {JOINED}").select("gram"), "gram", "left_semi")
+    rest = _meetings(few, percent).join(stars, ["u", "v"], "left_anti")
     more = verify(sets, rest, percent)
-    joined = connected_components(parts.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).union(more).union(_same_id(classes, there)))
-    final = settle(joined, "components")
-    discard(held, company, stars, sets, links, parts, named, apart, rare, more)
+    many = settle(_crowded(salted(rare, often.where(f"many > {JOINED}").select("gram", "many", "mass"), ["gram"], "id"), sets, percent), "crowded")
+    known = parts.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+    final = settle(connected_components(known.union(more).union(many).union(_same_id(classes, there))), "components")
+    discard(buckets, company, stars, sets, links, parts, named, apart, rare, often, more, many)
     kept = classes.join(final, F.col("rep") == F.col("node"), "left").select("c1", "c2", F.coalesce("component", "rep").alias("part"))
     out = table.drop("bands").join(kept, ["c1", "c2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("part")).otherwise(F.col("doc_id")))
@@ -246,9 +343,10 @@ def _same_id(classes: DataFrame, there: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, **settings) -> DataFrame:
-    """The documents whose doc_id names their component, and those without doc_id."""
-    gone = near_duplicates(docs, **settings).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id.cast("long") == F.col("_gone"), "left_anti")
+    """The documents whose doc_id names their component, and those without doc_id, with their own columns, whatever these are named."""
+    name = fresh(docs, "gone")
+    gone = near_duplicates(docs.select("doc_id", "text"), **settings).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col(name), "left_anti")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

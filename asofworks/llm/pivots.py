@@ -8,7 +8,8 @@ A pair that meets in several lists is counted in the list of its smallest shared
 
 Equal vectors of one label are one class from the start. A list longer than a block
 is split into blocks whose pairs of blocks are separate groups, so no group holds more
-than two blocks whatever the size of a list.
+than two blocks whatever the size of a list. Vectors travel in their own precision and are
+compared in double precision.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ COSINE = 0.98
 #: Nearest pivots in a vector's description, and how many of them two candidates share at least.
 NEAREST, SHARED = 6, 2
 #: Pivots: four times the root of the number of classes, within these bounds (the table of pivots is broadcast).
-PIVOTS = (64, 8192)
+PIVOTS = (64, 16_384)
 #: Two pivots have a cosine below this.
 APART = 0.9
-BLOCK = 256
+#: Vectors of a block: a list's rows are sent once for each of its blocks, so larger blocks send fewer; two of them are compared in some thirty megabytes.
+BLOCK = 1024
 
 
 def can_link():
@@ -40,7 +42,7 @@ def can_link():
 
 def _classes(vectors: DataFrame) -> DataFrame:
     """One row for each label and distinct vector: ``c1, c2`` (its name), ``cid`` (smallest vec_id), ``copies``."""
-    named = vectors.select(F.col("vec_id").cast("long"), F.col("label"), F.col("embedding").cast("array<double>")).where(can_link()).select("vec_id", "label", "embedding", *_name())
+    named = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding").where(can_link()).select("vec_id", "label", "embedding", *_name())
     found = named.groupBy("c1", "c2").agg(F.count("*").alias("copies"), F.min(F.struct("vec_id", "label", "embedding")).alias("r"))
     return found.select("c1", "c2", F.col("r.vec_id").alias("cid"), "copies", F.col("r.label").alias("label"), F.col("r.embedding").alias("embedding"))
 
@@ -55,14 +57,19 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def spread(sample: np.ndarray, apart: float = APART) -> np.ndarray:
-    """The sampled unit vectors that are not within ``apart`` of an earlier one: else a dense group would hold many pivots, and their order would be noise."""
+def spread(sample: np.ndarray, apart: float = APART, block: int = 512) -> np.ndarray:
+    """The sampled unit vectors that are not within ``apart`` of an earlier one that is kept: else a dense group would hold many pivots, and their order would be noise."""
     kept = np.empty_like(sample)
     n = 0
-    for x in _unit(sample):
-        if not n or (kept[:n] @ x).max() < apart:
-            kept[n] = x
-            n += 1
+    unit = _unit(sample)
+    for at in range(0, len(unit), block):
+        x = unit[at : at + block]
+        x = x[(kept[:n] @ x.T).max(0, initial=-1) < apart]  # against the blocks before at once
+        first = n
+        for v in x:
+            if n == first or (kept[first:n] @ v).max() < apart:
+                kept[n] = v
+                n += 1
     return kept[:n]
 
 
@@ -89,8 +96,8 @@ def postings(classes: DataFrame, pivots: np.ndarray, nearest: int = NEAREST) ->
 
         return work
 
-    label = classes.schema["label"].dataType.simpleString()
-    described = arrow_map(classes.select("label", "cid", "copies", "embedding"), make, f"label {label}, cid long, copies long, embedding array<double>, near array<int>")
+    label, vector = (classes.schema[c].dataType.simpleString() for c in ("label", "embedding"))
+    described = arrow_map(classes.select("label", "cid", "copies", "embedding"), make, f"label {label}, cid long, copies long, embedding {vector}, near array<int>")
     return described.select("label", F.explode("near").alias("pivot"), "cid", "copies", "near", "embedding")
 
 
