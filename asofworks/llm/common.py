@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -87,7 +88,8 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it lies."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
@@ -101,14 +103,14 @@ def discard(*frames: DataFrame) -> None:
             folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
             if folder.getName().startswith("asofworks-"):
                 held[:] = [x for x in held if not x.endswith(folder.getName())]
-                _delete(spark, folder.toString())
+                remove(spark, folder.toString())
 
 
 def release(spark: SparkSession) -> int:
     """Delete every table of this application that is still settled, once the results that read them are done; returns how many."""
     held = _settled.pop(spark.sparkContext.applicationId, [])
     for path in held:
-        _delete(spark, path)
+        remove(spark, path)
     return len(held)
 
 
@@ -123,6 +125,17 @@ def salted(big: DataFrame, small: DataFrame, on: list[str], by: str, how: str =
     return one.join(two, [*on, "salt_"], how).drop("salt_")
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables settled within are deleted at the end: for work whose result is written before."""
+    before = set(_settled.get(spark.sparkContext.applicationId, []))
+    yield
+    held = _settled.get(spark.sparkContext.applicationId, [])
+    for path in [x for x in held if x not in before]:
+        held.remove(path)
+        remove(spark, path)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or with underlines behind it: a name no column of ``df`` has (case aside)."""
     taken = {c.lower() for c in df.columns}

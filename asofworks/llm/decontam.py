@@ -2,7 +2,7 @@
 
 A text is normalised once (ASCII lower-cased, cut into words); every window of ten item
 words is one pattern. The automaton's symbols are words, not characters: each distinct
-benchmark word has a number, a word that no item holds has the number 0, and a state is
+benchmark word is one, a word that no item holds is the symbol 0, and a state is
 some words of a pattern. So a text is scanned once, hits come as word ranges, and these
 are mapped back to offsets of the original text.
 
@@ -26,6 +26,9 @@ WINDOW = 10
 #: Words of all patterns together, an upper bound of the automaton's states (about 100 bytes of worker memory each).
 PATTERN_WORDS = 4_000_000
 
+#: Distinct words of a benchmark at most: one code point each.
+SYMBOLS = 0x110000 - 0x802
+
 #: Bytes of UTF-8 that are part of words: 0-9, a-z (after lower-casing A-Z) and all non-ASCII; the rest become spaces.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -63,13 +66,16 @@ def patterns(benchmark: DataFrame, width: int = WINDOW, most: int = PATTERN_WORD
 
 
 class Scanner:
-    """The automaton over numbered words."""
+    """The automaton over numbered words; a word's number is a code point, so a text becomes a string of one character a word."""
 
     def __init__(self, held: list[tuple[bytes, tuple[str, ...]]]):
-        self.numbers = {w: n for n, w in enumerate(sorted({w for p, _ in held for w in p.split()}), 1)}
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE) if held else None
+        own = sorted({w for p, _ in held for w in p.split()})
+        if len(own) > SYMBOLS:
+            raise ValueError(f"the benchmark has {len(own)} distinct words, more than {SYMBOLS}")
+        self.symbols = {w: chr(n + 1 if n + 1 < 0xD800 else n + 0x801) for n, w in enumerate(own)}  # surrogates are no characters
+        self.automaton = ahocorasick.Automaton() if held else None
         for p, ids in held:
-            key = tuple(self.numbers[w] for w in p.split())
+            key = "".join([self.symbols[w] for w in p.split()])
             self.automaton.add_word(key, (len(key), ids))
         if held:
             self.automaton.make_automaton()
@@ -78,7 +84,7 @@ class Scanner:
         """Merged word ranges of all hits, and the ids of the items they come from."""
         ranges, names = [], set()
         if self.automaton is not None and w:
-            for end, (n, ids) in self.automaton.iter(tuple(map(self.numbers.get, w, repeat(0)))):
+            for end, (n, ids) in self.automaton.iter("".join(map(self.symbols.get, w, repeat("\0")))):
                 ranges.append((end + 1 - n, end + 1))
                 names.update(ids)
         return _merge(ranges), names

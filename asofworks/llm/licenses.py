@@ -7,8 +7,10 @@ weights are term counts times inverse document frequencies, which are counted ov
 files; a term that no template holds weighs as the mean of those that one does. A
 unit matches a template if the cosine reaches the threshold and they share two terms.
 
-Only units that hold a lead term are weighed: the heaviest terms of each template, as
-many as leave the rest a norm below the threshold, so no match can be lost.
+Only units that can match are weighed, and no match is lost: a unit must hold a lead term
+(the rarest terms of each template, as many as leave the rest a norm below the threshold), and
+the terms it shares with some template must have a norm of the threshold at least. Both
+are decided within the unit's row, so what is shuffled is little beyond the matches.
 
 A file's own licence is that of its best unit. Files named like a licence file also
 declare it for their directory; every other file inherits from its nearest ancestor
@@ -81,12 +83,12 @@ def template_rows(weights: dict[str, float]) -> list[list[tuple]]:
     return out
 
 
-def lead_terms(templates: list[list[tuple]], threshold: float = THRESHOLD) -> list[str]:
-    """Of each template its heaviest terms, as many as leave the rest a norm below the threshold."""
+def lead_terms(templates: list[list[tuple]], weights: dict[str, float], threshold: float = THRESHOLD) -> list[str]:
+    """Of each template its rarest terms, as many as leave the rest a norm below the threshold."""
     lead = set()
     for rows in templates:
         rest = 1.0
-        for *_, term, w in sorted(rows, key=lambda x: (-x[5], x[4])):
+        for *_, term, w in sorted(rows, key=lambda x: (-weights[x[4]], -x[5], x[4])):
             if math.sqrt(max(rest, 0)) < threshold - 1e-6:  # cosines are rounded to six digits
                 break
             lead.add(term)
@@ -94,6 +96,32 @@ def lead_terms(templates: list[list[tuple]], threshold: float = THRESHOLD) -> li
     return sorted(lead)
 
 
+def any_word(words: list[str]) -> str:
+    """A regular expression for any of the words between non-alphanumerics, with common beginnings factored out, so that few branches are tried at a word's start."""
+
+    def tree(rest: list[str]) -> str:
+        heads: dict[str, list[str]] = {}
+        for w in rest:
+            heads.setdefault(w[:1], []).append(w[1:])
+        parts = [re.escape(c) + tree(tails) for c, tails in sorted(heads.items()) if c]
+        inner = parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})" if parts else ""
+        return f"(?:{inner})?+" if "" in heads and inner else inner
+
+    return f"(?<![a-z0-9]){tree(sorted(set(words)))}(?![a-z0-9])"
+
+
+def _may_match(held: Column, templates: list[list[tuple]], threshold: float) -> Column:
+    """Whether distinct terms can reach the threshold for some template: for each, 10 and its squared weight a shared term."""
+    parts: dict[str, list[float]] = {}
+    for rows in templates:
+        for i, _, _, _, term, w in rows:
+            parts.setdefault(term, [0.0] * len(templates))[i] = 10 + w * w
+    table = F.from_json(F.lit(json.dumps(parts)), "map<string,array<double>>")
+    none = F.array_repeat(F.lit(0.0), len(templates))
+    sums = F.aggregate(held, none, lambda s, t: F.zip_with(s, F.coalesce(F.try_element_at(table, t), none), lambda x, y: x + y))
+    return F.exists(sums, lambda x: (x >= 10 * SHARED) & (x - 10 * F.floor(x / 10) >= (threshold - 1e-6) ** 2))
+
+
 def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A fixed small table as one literal."""
     names = [x.split(": ")[0] for x in schema.split(", ")]
@@ -121,11 +149,13 @@ def own_licences(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = files.sparkSession
     weights, other = idf(files)
     templates = template_rows(weights)
-    lead = f"(?<![a-z0-9])(?:{'|'.join(map(re.escape, lead_terms(templates, threshold)))})(?![a-z0-9])"
+    lead = any_word(lead_terms(templates, weights, threshold))
     there = files.where("path is not null and text is not null").where(_lower(F.col("text")).rlike(lead))
     found = there.select("path", F.explode(units(F.col("path"), F.col("text"))).alias("unit")).where(F.col("unit").rlike(lead))
     known = F.broadcast(_table(spark, sorted(weights.items()), "term: string, idf: double"))
-    counts = found.select("path", F.xxhash64("unit").alias("u"), F.explode(_terms(F.col("unit"))).alias("term")).groupBy("path", "u", "term").agg(F.count("*").alias("n"))
+    cut = found.select("path", F.xxhash64("unit").alias("u"), _terms(F.col("unit")).alias("terms"))
+    cut = cut.where(_may_match(F.array_distinct(F.filter("terms", lambda t: t.isin(*sorted(weights)))), templates, threshold))
+    counts = cut.select("path", "u", F.explode("terms").alias("term")).groupBy("path", "u", "term").agg(F.count("*").alias("n"))
     w = F.col("n") * F.coalesce("idf", F.lit(other))
     weighed = counts.join(known, "term", "left").groupBy("path", "u").agg(
         F.sqrt(F.sum(w * w)).alias("norm"),
