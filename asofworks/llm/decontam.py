@@ -1,9 +1,8 @@
 """Benchmark decontamination with one Aho-Corasick automaton over normalised items.
 
 A text is normalised once (ASCII lower-cased, cut into words); every window of ten item
-words is one pattern. The automaton's symbols are words, not characters: each distinct
-benchmark word is one, a word that no item holds is the symbol 0, and a state is
-some words of a pattern. So a text is scanned once, hits come as word ranges, and these
+words is one pattern. The automaton reads words, not characters: each distinct benchmark
+word has a short code, and all words that no item holds have one other. So a text is scanned once, hits come as word ranges, and these
 are mapped back to offsets of the original text.
 
 The automaton is broadcast, so its size is bounded: the benchmark's words are summed up
@@ -23,11 +22,11 @@ from pyspark.sql import functions as F
 from .common import arrow_map, carried, held, restore_columns, restored, texts
 
 WINDOW = 10
-#: Words of all patterns together, an upper bound of the automaton's states (about 100 bytes of worker memory each).
-PATTERN_WORDS = 4_000_000
+#: Words of all patterns together, each of two or three states at most (about 100 bytes of worker memory each).
+PATTERN_WORDS = 2_000_000
 
-#: Distinct words of a benchmark at most: one code point each.
-SYMBOLS = 0x110000 - 0x802
+#: Letters of a place in a word's code.
+BASE = 48
 
 #: Bytes of UTF-8 that are part of words: 0-9, a-z (after lower-casing A-Z) and all non-ASCII; the rest become spaces.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -66,17 +65,22 @@ def patterns(benchmark: DataFrame, width: int = WINDOW, most: int = PATTERN_WORD
 
 
 class Scanner:
-    """The automaton over numbered words; a word's number is a code point, so a text becomes a string of one character a word."""
+    """The automaton over numbered words.
+
+    A word's number is written with ``places`` digits, each place with letters of its own, so a
+    code is found at the beginning of a word only and no state has more than ``BASE`` arcs.
+    """
 
     def __init__(self, held: list[tuple[bytes, tuple[str, ...]]]):
         own = sorted({w for p, _ in held for w in p.split()})
-        if len(own) > SYMBOLS:
-            raise ValueError(f"the benchmark has {len(own)} distinct words, more than {SYMBOLS}")
-        self.symbols = {w: chr(n + 1 if n + 1 < 0xD800 else n + 0x801) for n, w in enumerate(own)}  # surrogates are no characters
+        self.places = 1
+        while BASE**self.places < len(own):
+            self.places += 1
+        self.codes = {w: "".join([chr(1 + BASE * k + n // BASE**k % BASE) for k in range(self.places)]) for n, w in enumerate(own)}
         self.automaton = ahocorasick.Automaton() if held else None
         for p, ids in held:
-            key = "".join([self.symbols[w] for w in p.split()])
-            self.automaton.add_word(key, (len(key), ids))
+            w = p.split()
+            self.automaton.add_word("".join([self.codes[x] for x in w]), (len(w), ids))
         if held:
             self.automaton.make_automaton()
 
@@ -84,8 +88,10 @@ class Scanner:
         """Merged word ranges of all hits, and the ids of the items they come from."""
         ranges, names = [], set()
         if self.automaton is not None and w:
-            for end, (n, ids) in self.automaton.iter("".join(map(self.symbols.get, w, repeat("\0")))):
-                ranges.append((end + 1 - n, end + 1))
+            line = "".join(map(self.codes.get, w, repeat("\0" * self.places)))
+            for end, (n, ids) in self.automaton.iter(line):
+                last = end // self.places + 1
+                ranges.append((last - n, last))
                 names.update(ids)
         return _merge(ranges), names
 
