@@ -26,16 +26,51 @@ def top_k(vectors: DataFrame, query: list[float], k: int, keep: Column | None =
 
 
 def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest of each of the stated queries ``(query_id, q)``: queries go to the vectors in blocks; each task sends on its best only."""
-    n = queries.count()
-    blocks = [queries] if n <= QUERY_BLOCK else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // QUERY_BLOCK))) == i) for i in range(-(-n // QUERY_BLOCK))]
+    """``(query_id, vec_id, score, rank)``: the ``k`` nearest of each of the stated queries ``(query_id, q)``, the vector of the query's own id left out.
+
+    Queries go to the vectors in blocks of at most ``QUERY_BLOCK``; a block is one matrix product a
+    batch of vectors, and each task sends on what is among a query's best of its batch only. Vectors that
+    are null or zero are no one's neighbours; ties go by id.
+    """
+    spark = vectors.sparkSession
+    rows = queries.where(F.col("q").isNotNull())
+    n = rows.count()
+    blocks = max(1, -(-n // QUERY_BLOCK))
     best = None
-    for block in blocks:
-        scored = vectors.join(F.broadcast(block)).where("vec_id <> query_id").select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        found = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    for i in range(blocks):
+        block = (rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)).select("query_id", "q").collect()
+        if not block:
+            continue
+        sent = spark.sparkContext.broadcast(([r.query_id for r in block], [list(map(float, r.q)) for r in block]))
+
+        def run(batches, sent=sent):
+            import numpy as np
+            import pyarrow as pa
+
+            ids, q = np.array(sent.value[0], np.int64), np.array(sent.value[1], np.float64)
+            norms = np.sqrt((q * q).sum(1, keepdims=True))
+            q = q / np.where(norms > 0, norms, 1)
+            for b in batches:
+                own = b.column(0).to_numpy(zero_copy_only=False)
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
+                size = np.sqrt((x * x).sum(1))
+                own, x, size = own[size > 0], x[size > 0], size[size > 0]
+                if not len(own):
+                    continue
+                for at in range(0, len(ids), 512):  # a block of 512 queries by a batch is some forty megabytes
+                    score = np.round(x @ q[at : at + 512].T / size[:, None], 6)
+                    score[own[:, None] == ids[None, at : at + 512]] = -2
+                    least = np.partition(score, max(0, len(own) - k), axis=0)[max(0, len(own) - k)]
+                    u, v = np.nonzero((score >= least) & (score > -2))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at + v]), pa.array(own[u]), pa.array(score[u, v])], names=["query_id", "vec_id", "score"])
+
+        held = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
+        found = held.mapInArrow(run, "query_id long, vec_id long, score double")
         best = found if best is None else best.union(found)
-    return best
+    if best is None:
+        best = spark.createDataFrame([], "query_id long, vec_id long, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def rrf(vector: DataFrame, graph: DataFrame, k: int = 60, vector_weight: float = 1.0, graph_weight: float = 1.0) -> DataFrame:

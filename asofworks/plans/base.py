@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from ..sources.sinks import settle
 
+#: A table after FROM, JOIN or a comma of them, and the word behind it.
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+KEYWORDS = "JOIN|LEFT|RIGHT|FULL|INNER|CROSS|WHERE|GROUP|ORDER|UNION|ON|USING|LIMIT|HAVING|WINDOW|LATERAL|QUALIFY|ANTI|SEMI|EXCEPT|INTERSECT"
+NAMED = re.compile(rf"(?i)\b(FROM|JOIN)\s+({'|'.join(TABLES)})\b(?:\s+(?:AS\s+)?(?!(?:{KEYWORDS})\b)([A-Za-z_]+)\b)?")
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
 
 
-def views(spark: SparkSession, sf_dir: str, text: str) -> None:
-    """Name the tables that a statement mentions."""
-    for t in TABLES:
-        if t in text:
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def run(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    views(spark, sf_dir, text)
-    return spark.sql(text)
+    """A statement over the driver's tables. Each table's name in it is read as the files' path, so the caller's session gets no views."""
+    def read(m: re.Match) -> str:
+        return f"{m[1]} parquet.`{sf_dir}/{m[2]}.parquet` AS {m[3] or m[2]}"
+
+    return spark.sql(NAMED.sub(read, text))
 
 
 def both(name: str, text: str, spark_text: str | None = None) -> None:
@@ -46,3 +52,13 @@ def query(sql: str | None = None):
 EDGES = """SELECT s_nationkey AS src, c_nationkey AS dst, MIN(l_shipdate) AS available_ts, MIN(o_orderdate) AS event_ts, COUNT(*) AS n, ROUND(1 - AVG(l_discount), 6) AS confidence
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
   WHERE s_nationkey <> c_nationkey GROUP BY s_nationkey, c_nationkey"""
+
+_settled: dict[tuple[str, str], DataFrame] = {}
+
+
+def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trade edges of a table folder, aggregated once an application and settled for all graph queries."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _settled:
+        _settled[key] = settle(run(spark, sf_dir, EDGES), "trade")
+    return _settled[key]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import asof
-from .base import EDGES, both, query, run
+from .base import EDGES, both, query, run, trade
 
 CUT = "TIMESTAMP '1995-02-15 00:00:00'"
 NODES = "SELECT n_nationkey AS node_id, CASE WHEN n_regionkey = 0 THEN 'company' ELSE 'product' END AS node_type, n_name AS name, MIN(o_orderdate) AS available_ts FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY n_nationkey, n_regionkey, n_name"
@@ -20,12 +20,12 @@ def asof_snapshot_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH nodes AS ({NODES}), edges AS ({EDGES}), kept AS (SELECT node_id FROM nodes WHERE node_type = 'company' OR available_ts <= {CUT}) SELECT src, dst, n FROM edges WHERE available_ts <= {CUT} AND src IN (SELECT node_id FROM kept) AND dst IN (SELECT node_id FROM kept)")
 def asof_snapshot_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asof.snapshot_edges(run(spark, sf_dir, EDGES), run(spark, sf_dir, NODES), F.expr(CUT)).select("src", "dst", "n")
+    return asof.snapshot_edges(trade(spark, sf_dir), run(spark, sf_dir, NODES), F.expr(CUT)).select("src", "dst", "n")
 
 
 @query(f"WITH edges AS ({EDGES}) SELECT CASE WHEN src = 3 THEN dst ELSE src END AS partner, n_name AS name, CASE WHEN src = 3 THEN 'out' ELSE 'in' END AS direction, n FROM edges JOIN nation ON n_nationkey = CASE WHEN src = 3 THEN dst ELSE src END WHERE (src = 3 OR dst = 3) AND available_ts <= {CUT}")
 def company_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = run(spark, sf_dir, EDGES).where(asof.is_available(F.col("available_ts"), F.expr(CUT)))
+    edges = trade(spark, sf_dir).where(asof.is_available(F.col("available_ts"), F.expr(CUT)))
     near = asof.neighbours(edges, F.lit(3)).withColumnRenamed("other", "partner")
     names = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("partner"), F.col("n_name").alias("name"))
     return near.join(names, "partner").select("partner", "name", F.when(F.col("src") == 3, "out").otherwise("in").alias("direction"), "n")
@@ -47,7 +47,7 @@ p(path, ids, node, hop, c, t) AS (SELECT ['3'], CAST([] AS VARCHAR[]), '3', 0, 1
 
 
 def _paths(spark: SparkSession, sf_dir: str, hops: int, cut: str | None) -> DataFrame:
-    edges = run(spark, sf_dir, EDGES).select(F.expr("concat(src, '>', dst)").alias("edge_id"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "available_ts", "confidence")
+    edges = trade(spark, sf_dir).select(F.expr("concat(src, '>', dst)").alias("edge_id"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "available_ts", "confidence")
     seeds = spark.range(1).select(F.lit("3").alias("node_id"))
     return asof.walk(edges, seeds, hops, F.expr(cut) if cut else None)
 

@@ -64,11 +64,14 @@ _WF = "SELECT CAST(CAST(o_orderdate AS DATE) AS STRING) AS d, ROUND(SUM(o_totalp
 
 @query(f"WITH s AS ({_WF}), p AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS pos FROM s), f AS (SELECT unnest(generate_series(0, (SELECT greatest(0, CAST(ceil((count(*) - 140) / 30.0) AS INTEGER) - 1) FROM s))) AS fold) SELECT CAST(fold AS INTEGER) AS fold, COUNT(*) FILTER (WHERE pos < 140 + 30 * fold) AS n_train, COUNT(*) FILTER (WHERE pos >= 140 + 30 * fold AND pos < 170 + 30 * fold) AS n_test FROM p, f GROUP BY fold")
 def walk_forward_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = features.walk_forward(run(spark, sf_dir, _WF), "d", 140, 30)
-    return out.groupBy("fold").agg(F.count_if(F.col("part") == "train").alias("n_train"), F.count_if(F.col("part") == "test").alias("n_test"))
+    return features.fold_sizes(run(spark, sf_dir, _WF), 140, 30)
+
+
+@query(f"WITH s AS ({_WF}), p AS (SELECT d, row_number() OVER (ORDER BY d) AS i, COUNT(*) OVER () AS n FROM s) SELECT d, CASE WHEN i <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS part FROM p")
+def chronological_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.chronological(run(spark, sf_dir, _WF), "d").select("d", "part")
 
 
-both("chronological_split", f"WITH s AS ({_WF}), p AS (SELECT d, row_number() OVER (ORDER BY d) AS i, COUNT(*) OVER () AS n FROM s) SELECT d, CASE WHEN i <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS part FROM p")
 both("stratified_sample", "SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM documents) x WHERE i <= 3")
 both("unified_events", "SELECT 'event' AS kind, event_id AS id, ts AS available_ts FROM events UNION ALL SELECT 'order', o_orderkey, o_orderdate FROM orders")
 both("event_history", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id) AS place FROM events", "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id) AS BIGINT) AS place FROM events")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_cik
+from .sinks import is_folder
 
 # Schemas of the documents on disk.
 NODE = "node_id string, node_type string, label string, properties map<string,string>, event_time string, available_time string"
@@ -75,6 +76,121 @@ def rss(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("title <> '' and link <> '' and published_at is not null").withColumn("fingerprint", mark)
 
 
+def parquet_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table as a stream of its files: a folder of part files, or a single file (the stream's source must be a folder, so its folder is read by the file's name)."""
+    reader = spark.readStream.schema(schema)
+    if is_folder(spark, path):
+        return reader.parquet(path)
+    folder, _, name = path.rpartition("/")
+    return reader.option("pathGlobFilter", name).parquet(folder)
+
+
 def market(spark: SparkSession, path: str) -> DataFrame:
     """Daily prices of a CSV with header."""
     return spark.read.schema(OHLCV).option("header", True).csv(path)
+
+
+# Schemas of extraction results, macro series, unified news.
+EXTRACTED = (
+    "document_id string, chunk_id string, chunk_index int, "
+    "entities array<struct<entity_id: string, entity_type: string, name: string, canonical_name: string, confidence: double>>, "
+    "relations array<struct<source_entity_id: string, target_entity_id: string, relationship: string, confidence: double, event_time: string, available_time: string>>, "
+    "provenance struct<document_id: string, chunk_id: string, source: string, available_time: string>, available_time string"
+)
+MACRO = "series_id string, series_name string, ticker string, date string, value string, unit string, source string, source_url string, ingested_at string"
+
+
+def extractions(spark: SparkSession, folder: str) -> DataFrame:
+    """All chunk results of a folder's JSON files, with ``seq``: their order by file, chunk index and chunk id."""
+    rows = json_documents(spark, f"{folder.rstrip('/')}/*.json", EXTRACTED).where("chunk_id is not null")
+    rows = rows.withColumn("available_time", F.coalesce("available_time", "provenance.available_time"))
+    return rows.withColumn("seq", F.struct("file", F.coalesce("chunk_index", F.lit(2**31 - 1)).alias("index"), "chunk_id")).drop("provenance")
+
+
+def macro(spark: SparkSession, path: str, series: tuple[str, ...] = ()) -> DataFrame:
+    """Macro observations of JSON files (of the given series), by date and series."""
+    rows = json_documents(spark, path, MACRO).drop("file")
+    rows = rows.where(F.col("series_id").isin(*series)) if series else rows
+    return rows.withColumn("value", F.col("value").try_cast("double")).orderBy("date", "series_id")
+
+
+def corpus_config(path: str) -> dict:
+    """A corpus configuration in YAML's plain subset: nested maps by indentation, lists of scalars or one-line maps, comments. Parameters, not data."""
+    with open(path, encoding="utf-8") as f:
+        lines = [(len(x) - len(x.lstrip()), x.strip()) for x in f if x.strip() and not x.lstrip().startswith("#")]
+
+    def scalar(text: str):
+        text = text.split(" #")[0].strip()
+        if text[:1] in "\"'" and text[-1:] == text[:1] and len(text) > 1:
+            return text[1:-1]
+        if text.startswith("[") and text.endswith("]"):
+            return [scalar(x) for x in text[1:-1].split(",") if x.strip()]
+        if text.lower() in ("true", "false"):
+            return text.lower() == "true"
+        if text.lower() in ("", "null", "~"):
+            return None
+        for kind in (int, float):
+            try:
+                return kind(text)
+            except ValueError:
+                pass
+        return text
+
+    def block(at: int, depth: int):
+        out = [] if lines[at][1].startswith("- ") else {}
+        while at < len(lines) and lines[at][0] == depth:
+            text = lines[at][1]
+            if isinstance(out, list):
+                head = text[2:].strip()
+                if ":" in head and head[:1] not in "\"'[":
+                    lines[at] = (depth + 2, head)
+                    value, at = block(at, depth + 2)
+                else:
+                    value, at = scalar(head), at + 1
+                out.append(value)
+                continue
+            key, _, rest = text.partition(":")
+            at += 1
+            if rest.strip():
+                out[key.strip()] = scalar(rest)
+            elif at < len(lines) and (lines[at][0] > depth or lines[at][0] == depth and lines[at][1].startswith("- ")):
+                out[key.strip()], at = block(at, lines[at][0])
+            else:
+                out[key.strip()] = None
+        return out, at
+
+    return block(0, lines[0][0])[0] if lines else {}
+
+
+def fetch(urls: DataFrame, kind: str = "json", agent: str = "corpus-reader", timeout: float = 30.0) -> DataFrame:
+    """``(url, status, body, error)`` of ``urls(url)``, fetched on the workers, one connection a row.
+
+    Compressed answers are unpacked; bytes that are no UTF-8 become U+FFFD. A JSON source must answer in JSON, an
+    HTML source in HTML (by its content type, or else by how it begins); other answers, and failures, are errors of their row.
+    """
+
+    def run(batches):
+        import gzip
+        import urllib.request
+
+        import pyarrow as pa
+
+        def get(url):
+            try:
+                request = urllib.request.Request(url, headers={"User-Agent": agent, "Accept-Encoding": "gzip"})
+                with urllib.request.urlopen(request, timeout=timeout) as r:
+                    raw, said, status = r.read(), (r.headers.get("Content-Type") or "").lower(), getattr(r, "status", None) or 200
+                if raw[:2] == b"\x1f\x8b":
+                    raw = gzip.decompress(raw)
+                body = raw.decode("utf-8", errors="replace")
+                start = body.lstrip()[:200].lower()
+                fits = ("json" in said or start[:1] in ("{", "[")) if kind == "json" else ("html" in said or start.startswith("<!doctype html") or "<html" in start)
+                return (status, body, None) if fits else (status, None, f"no {kind}: {said or 'unknown type'}")
+            except Exception as e:  # noqa: BLE001  any failure is its row's
+                return None, None, f"{type(e).__name__}: {e}"
+
+        for b in batches:
+            got = [get(u) if u else (None, None, "no url") for u in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.string())], names=["url", "status", "body", "error"])
+
+    return urls.select(F.col("url").cast("string").alias("url")).mapInArrow(run, "url string, status int, body string, error string")

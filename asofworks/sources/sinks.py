@@ -12,17 +12,36 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """A new path in the folder all executors share: ``spark.checkpoint.dir``. Where it is unset a local master gets a temporary one; a cluster gets an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="asofworks-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
     return f"{base.rstrip('/')}/asofworks-{name}-{uuid.uuid4().hex}"
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a scratch path and read it again, so that what reads it several times computes it once and survives lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _file_system(spark, path)
+    return fs.exists(p)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    p, fs = _file_system(spark, path)
+    return fs.getFileStatus(p).isDirectory()
 
 
 def one_per_key(rows: DataFrame, key: str) -> DataFrame:
@@ -54,3 +73,43 @@ def upsert(old: DataFrame, new: DataFrame, key: str, path: str) -> DataFrame:
 def log_failures(failures: DataFrame, path: str) -> None:
     """Append failures as JSON lines."""
     failures.write.mode("append").json(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p, fs = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """JSON lines, nulls written out, replacing what lies there."""
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def write_metrics(rows: DataFrame, path: str, form: str = "json") -> None:
+    """Metric rows as JSON lines or CSV with header."""
+    writer = rows.write.mode("overwrite")
+    writer.json(path) if form == "json" else writer.option("header", True).csv(path)
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A graph as two Parquet tables in one folder."""
+    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    edges.write.mode("overwrite").parquet(f"{path}/edges")
+
+
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+
+
+def resume(items: DataFrame, path: str, key: list[str], work, batch_id: int) -> DataFrame:
+    """Run ``work(items) -> (key, status)`` on the items that the manifest at ``path`` does not call completed, add the outcome as a batch, and return the last outcome of each key.
+
+    The key may be several columns (ticker and accession number); failed items come again at the next call.
+    """
+    spark = items.sparkSession
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in items.select(*key).schema] + ["status string", "batch_id long"])
+    done = before(spark, path, schema, batch_id)
+    last = done.groupBy(*key).agg(F.max_by("status", "batch_id").alias("status")).where("status = 'completed'")
+    append_batch(work(items.join(last.select(*key), key, "left_anti")).select(*key, "status"), path, batch_id)
+    rows = spark.read.schema(schema).option("basePath", path).parquet(path)
+    return rows.groupBy(*key).agg(F.max_by("status", "batch_id").alias("status"))
