@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from asofworks.llm import components, decontam, entries, langid, licenses, linededup, minhash, pieces, pii, pivots, tokencount, warc
+from asofworks.llm import components, decontam, entries, langid, licence_texts, licenses, linededup, minhash, pieces, pii, pivots, tokencount, warc
 from asofworks.llm.cuckoo import CuckooFilter
 
 SF = "/root/testdata/sf0.001"
@@ -234,20 +234,31 @@ def test_licences(spark):
     got = {r.path: (r.own_licence, r.licence, r.from_dir) for r in licenses.scan(files).collect()}
     assert got["a/b/c.txt"] == (None, "Apache-2.0", "a/b") and got["a/LICENSE"][:2] == ("MIT", "MIT") and got["z/c.txt"] == (None, None, None) and got["a/d.txt"][1] == "Apache-2.0"
     assert licenses.scan(files.limit(0)).count() == 0
-
-
-def test_licence_lines_of_the_documents(spark):
-    """Every line of the driver's documents that speaks of a licence is recognised, by the right name."""
-    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text rlike '(?i)licen[sc]e'").select("text").collect()]
-    lines = sorted({x for t in texts for x in t.split("\n") if re.search("(?i)licen[sc]e", x)})
-    want = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the MIT License.": "MIT", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0"}
-    assert set(lines) == set(want)
-    want |= dict((text, name) for name, text in [*licenses.TEMPLATES.items(), *licenses.FORMS])
-    want |= {"prose that is licensed under nothing": None, "mit mit": None}
-    assert all(w < licenses.THRESHOLD for rows in licenses._all_forms() for _, _, w, _ in rows)  # no single word names a licence
-    files = spark.createDataFrame(list(want.items()), "text string, name string").select(F.concat(F.lit("f"), F.md5("text")).alias("path"), "text", "name")
-    got = {r.path: r.licence for r in licenses.own_licences(files).collect()}
-    assert {r.text: got.get(r.path) for r in files.collect()} == want
+    tie = spark.createDataFrame([("p/LICENSE-b", "Released under the ISC License."), ("p/LICENSE-a", "Released under the MIT License."), ("p/LICENSE-a", "Released under the MIT License."), ("p/x", "y " * 200_000)], "path string, text string")
+    got = [r for r in licenses.scan(tie).collect()]
+    assert len(got) == 4 and {r.licence for r in got if r.path == "p/x"} == {"MIT"}  # equal cosines: the first path declares
+
+
+def test_licence_texts(spark):
+    """Whole files, headers, wrapped lines, titles and tags are found; near misses are not, among the driver's documents."""
+    mit = "\n\n".join(("MIT License", "Copyright (c) 2020 Foo Corp.", licence_texts._GRANT_MIT, licence_texts._NOTICE_MIT, licence_texts._WARRANTY_MIT))
+    gpl = licence_texts._gnu("GNU General Public License", "3", "This program").replace(". ", ".\n * ")
+    want = {
+        "MIT License": "MIT", "The MIT License (MIT)": "MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy": "MIT", "GNU GENERAL PUBLIC LICENSE": "GPL",
+        "Mozilla Public License Version 2.0": "MPL-2.0", "Redistribution and use in source and binary forms, with or without": "BSD-3-Clause", "modification, are permitted provided that the following conditions are met:": "BSD-3-Clause",
+        "SPDX-License-Identifier: Apache-2.0": "Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.': "Apache-2.0",
+        "Copyright 2020 Foo Corp. Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", mit: "MIT", mit.replace("\n", "\n# "): "MIT", f"/* {gpl} */\nint main()": "GPL-3.0",
+        "GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991\n\nCopyright (C) 1989": "GPL-2.0", "// SPDX-License-Identifier: GPL-2.0-or-later\nint x;": "GPL-2.0-or-later",
+    }
+    want |= dict.fromkeys(("mit mit", "the mit campus", "SPDX-License-Identifier: Foo-1.0", "a driving license is needed", "prose that is licensed under nothing", "Apache helicopters", "free of charge", "Version 2.0", "Public License", "Creative Commons"))
+    want |= {text: name for name, text, _ in licence_texts.forms()}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), "text")
+    files = spark.createDataFrame([(f"x/{i}", t) for i, t in enumerate(want)], "path string, text string")
+    got = {r.path: r.licence for r in licenses.own_licences(files.union(docs)).collect()}
+    assert {t: got.get(f"x/{i}") for i, t in enumerate(want)} == want
+    lines = [(r.path, x) for r in docs.where("text rlike '(?i)licen[sc]e'").collect() for x in r.text.split("\n") if re.search("(?i)licen[sc]e", x)]
+    said = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the MIT License.": "MIT", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0"}
+    assert {x for _, x in lines} == set(said) and all(got[p] in {said[x] for q, x in lines if q == p} for p, _ in lines)
 
 
 def test_merkle_audit(spark):
