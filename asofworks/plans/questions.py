@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions import time as when
 from ..operators import analysis, answers, hybrid, retrieval
 from ..sources.sinks import settle
-from .base import query, run, table, trade
+from .base import QUERIES, SQL, query, run, table, trade
 
 #: Both engines read this: eleven kinds of questions over the nations, with dates.
 QUESTIONS = """SELECT c_custkey AS question_id, CASE c_custkey % 11
@@ -97,6 +97,30 @@ def question_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("question_id", said("entities"), said("intents"), "hops", "multi_hop", F.col("primary").alias("primary_type"), said("secondary", "secondary_types"), "cross_document")
 
 
+#: Every user turn, for the same analysis.
+TURNS = "SELECT conv_id * 1000 + turn AS question_id, text AS question FROM conversations WHERE role = 'user'"
+
+
+def _parts(name: str, rows) -> None:
+    """The analysis part by part, over the questions of ``rows`` (as in :func:`questions`) or every user turn."""
+    swap = lambda sql: sql if rows is questions else sql.replace(QUESTIONS, TURNS)
+    whole = lambda spark, sf_dir: analysis.analyse(rows(spark, sf_dir), terms(spark, sf_dir))
+
+    def keep(part: str, sql: str, show) -> None:
+        QUERIES[part + name], SQL[part + name] = (lambda spark, sf_dir: show(spark, sf_dir)), swap(sql)
+
+    keep("intent_detection", f"WITH {_Q}, x AS (SELECT question_id, lower(question) AS t FROM q) SELECT question_id, array_to_string(list_sort(list_distinct(flatten([{_WANTED}]))), ',') AS intents FROM x",
+         lambda spark, sf_dir: rows(spark, sf_dir).select("question_id", F.array_join(analysis.intents(F.col("question")), ",").alias("intents")))
+    keep("hop_depth", f"WITH {_ANALYSED} SELECT question_id, CAST(k // 10 AS INTEGER) AS hops, k % 10 = 1 AS multi_hop FROM f", lambda spark, sf_dir: whole(spark, sf_dir).select("question_id", "hops", "multi_hop"))
+    keep("question_type", f"WITH {_ANALYSED} SELECT question_id, prim AS primary_type FROM f", lambda spark, sf_dir: whole(spark, sf_dir).select("question_id", F.col("primary").alias("primary_type")))
+    keep("temporal_constraints", f"WITH {_TIMES} SELECT question_id, reference FROM times",
+         lambda spark, sf_dir: rows(spark, sf_dir).select("question_id", F.date_format(when.reference_time(F.col("question"))["reference"], "yyyy-MM-dd HH:mm:ss").alias("reference")))
+    keep("entity_linking", f"WITH {_LINKED} SELECT question_id, unnest(e) AS node FROM ent", lambda spark, sf_dir: analysis.link_entities(rows(spark, sf_dir), terms(spark, sf_dir)).select("question_id", F.explode("entities").alias("node")))
+
+
+_parts("", questions)
+_parts("_turns", lambda spark, sf_dir: run(spark, sf_dir, TURNS))
+
 #: Edges of the trade graph with a relationship by direction and a chunk each.
 _REL = "CASE (src + dst) % 4 WHEN 0 THEN 'SUPPLIES' WHEN 1 THEN 'HAS_RISK' WHEN 2 THEN 'PARTNERS_WITH' ELSE 'DEPENDS_ON' END"
 

@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.time import is_available
 from ..operators import retrieval
-from .base import SQL, both, query, run
+from .base import both, query
 
 _Q = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
 _COS = "ROUND(list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) / (sqrt(list_dot_product(CAST({a} AS DOUBLE[]), CAST({a} AS DOUBLE[]))) * sqrt(list_dot_product(CAST({b} AS DOUBLE[]), CAST({b} AS DOUBLE[])))), 6)"
 _SCORE = _COS.format(a="embedding", b=_Q)
-_SEEN = "vec_id % 365 <= 180"
+#: A vector's time, by rule from its id, and the time asked for; both engines read the first form.
+_SEEN = "TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(vec_id % 365 AS INTEGER)) <= TIMESTAMP '2024-06-29 00:00:00'"
+_AVAILABLE, _CUT = "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(CAST(vec_id % 365 AS INT))", "TIMESTAMP_NTZ '2024-06-29 00:00:00'"
 
 
-def _top(spark: SparkSession, sf_dir: str, k: int, keep=None) -> DataFrame:
+def _top(spark: SparkSession, sf_dir: str, k: int, keep=None, query_id: int = 0) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return retrieval.top_k(e, list(map(float, e.where("vec_id = 0").first().embedding)), k, keep)
+    return retrieval.top_k(e, list(map(float, e.where(f"vec_id = {query_id}").first().embedding)), k, keep)
 
 
 @query(f"SELECT vec_id, {_SCORE} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10")
@@ -26,7 +29,7 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT vec_id, label, {_SCORE} AS score FROM embeddings WHERE label = 3 AND {_SEEN} ORDER BY score DESC, vec_id LIMIT 10")
 def vector_topk_filtered_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _top(spark, sf_dir, 10, F.expr(f"label = 3 AND {_SEEN}")).select("vec_id", "label", "score")
+    return _top(spark, sf_dir, 10, (F.col("label") == 3) & is_available(F.expr(_AVAILABLE), F.expr(_CUT))).select("vec_id", "label", "score")
 
 
 @query(f"SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {_COS.format(a='e.embedding', b='q.embedding')} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5")
@@ -35,7 +38,9 @@ def vector_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.batch_top_k(e.select("vec_id", "embedding"), e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 5)
 
 
-_POOL = f"v AS (SELECT vec_id AS chunk_id, row_number() OVER (ORDER BY {_SCORE} DESC, vec_id) AS rank FROM embeddings WHERE label IN (0, 1, 2) ORDER BY rank LIMIT 40), g AS (SELECT vec_id AS evidence_id, vec_id % 60 AS chunk_id, row_number() OVER (ORDER BY label, vec_id) AS rank FROM embeddings WHERE vec_id % 7 = 0 ORDER BY rank LIMIT 60)"
+_OTHER = _COS.format(a="embedding", b="(SELECT embedding FROM embeddings WHERE vec_id = 1)")
+#: Two rankings of all vectors: nearest to vector 0 within three labels, and, as the graph's side, nearest to vector 1; each delivers its fetch size.
+_POOL = f"v AS (SELECT vec_id AS chunk_id, row_number() OVER (ORDER BY {_SCORE} DESC, vec_id) AS rank FROM embeddings WHERE label IN (0, 1, 2) ORDER BY rank LIMIT 40), g AS (SELECT vec_id AS evidence_id, vec_id AS chunk_id, row_number() OVER (ORDER BY {_OTHER} DESC, vec_id) AS rank FROM embeddings ORDER BY rank LIMIT 60)"
 
 
 def _fuse_sql(wv: float, wg: float) -> str:
@@ -45,11 +50,9 @@ UNION ALL SELECT 'graph:' || evidence_id, 'graph', ROUND({wg}::DOUBLE / (60 + ra
 
 
 def _fuse(spark: SparkSession, sf_dir: str, wv: float, wg: float) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     v = _top(spark, sf_dir, 40, F.col("label").isin(0, 1, 2))
     v = retrieval.ranked(v, F.desc("score"), F.col("vec_id")).select(F.col("vec_id").alias("chunk_id"), "rank")
-    g = e.where("vec_id % 7 = 0").orderBy("label", "vec_id").limit(60)
-    g = retrieval.ranked(g, F.col("label"), F.col("vec_id")).select(F.col("vec_id").alias("evidence_id"), (F.col("vec_id") % 60).alias("chunk_id"), "rank")
+    g = retrieval.ranked(_top(spark, sf_dir, 60, query_id=1), F.desc("score"), F.col("vec_id")).select(F.col("vec_id").alias("evidence_id"), F.col("vec_id").alias("chunk_id"), "rank")
     return retrieval.rrf(v, g, 60, wv, wg).withColumn("score", F.round("score", 6))
 
 
@@ -83,13 +86,10 @@ def rerank_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.rerank(docs, overlap, relation, F.lit(1.0), F.col("doc_id") % 3 + 1, ["source"]).select("doc_id", F.round("rerank_score", 5).alias("rerank_score"))
 
 
-both("scoped_union_dedup", "WITH u AS (SELECT vec_id, 0 AS o FROM embeddings WHERE label = 2 AND vec_id < 100 UNION ALL SELECT vec_id, 1 FROM embeddings WHERE vec_id < 60) SELECT vec_id, MIN(o) AS first_source FROM u GROUP BY vec_id")
-
-
 @query(f"""WITH s AS (SELECT vec_id, {_SCORE} AS score, 0 AS o FROM embeddings WHERE label = 2 ORDER BY score DESC, vec_id LIMIT 8), a AS (SELECT vec_id, {_SCORE} AS score, 1 AS o FROM embeddings ORDER BY score DESC, vec_id LIMIT 40),
 f AS (SELECT vec_id, score, MIN(o) AS first_source FROM (SELECT * FROM s UNION ALL SELECT * FROM a) GROUP BY vec_id, score)
 SELECT vec_id, first_source, score, CAST(row_number() OVER (ORDER BY first_source, score DESC, vec_id) AS INTEGER) AS rank FROM f QUALIFY rank <= 40""")
-def scoped_union_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scoped_union_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best 8 of one label, then the best of all vectors; a vector counts where it stands first; 40 at most."""
     scoped, everywhere = _top(spark, sf_dir, 8, F.col("label") == 2), _top(spark, sf_dir, 40)
     found = scoped.withColumn("o", F.lit(0)).unionByName(everywhere.withColumn("o", F.lit(1)))
@@ -99,25 +99,6 @@ def scoped_union_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 both("distinct_periods", "SELECT DISTINCT extract(year FROM o_orderdate) AS y, extract(quarter FROM o_orderdate) AS q FROM orders", "SELECT DISTINCT CAST(extract(year FROM o_orderdate) AS BIGINT) AS y, CAST(extract(quarter FROM o_orderdate) AS BIGINT) AS q FROM orders")
 
-# Questions for the analyser; fixed values.
-_QUESTIONS = "q(id, t) AS (VALUES (1, 'What risks affected NVIDIA as of June 1, 2025?'), (2, 'What companies did Apple supply before 2024-03-31?'), (3, 'What were the primary risks of Microsoft in 2024?'), (4, 'What companies does NVIDIA depend on?'), (5, 'What company supplies NVIDIA?'), (6, 'What risks affect companies that supply NVIDIA?'), (7, 'Which company had higher revenue, Apple or Microsoft?'), (8, 'Who are the partners and rivals of AMD?'), (9, 'What happened in Q3 2023 to the supply chain of Intel?'))"
-_INTENTS = {"DEPENDS_ON": "depend|suppl|vendor", "COMPETES_WITH": "compet|rival", "HAS_RISK": "risk|threat|danger|vulnerab|hazard", "PARTNERS_WITH": "partner|alliance|collaborat", "ACQUIRED": "acquir|merger|buyout", "INVESTED_IN": "invest|stake in", "MANUFACTURES": "manufactur|product|makes", "LOCATED_IN": "located|headquarter|based in"}
-_RL = "regexp_matches(lower(t), '{}')"
-_intent = ", ".join(f"CASE WHEN {_RL.format(p)} THEN 1 ELSE 0 END AS {n.lower()}" for n, p in _INTENTS.items())
-_spark = lambda s: s.replace("regexp_matches(", "regexp_like(")
-both("intent_detection", s := f"WITH {_QUESTIONS} SELECT id, {_intent} FROM q", _spark(s))
-_HOPS = f"WITH {_QUESTIONS} SELECT id, CASE WHEN {_RL.format('compar|versus| vs|differ|higher')} THEN 1 WHEN {_RL.format('connected to|indirect|through (its|their)|intermediary|chain|both')} THEN 2 WHEN {_RL.format('(risk|suppl|depend|partner).*(companies that|whose|for a).*(risk|suppl|depend|partner)')} THEN 2 ELSE 1 END AS hops FROM q"
-both("hop_depth", _HOPS, _spark(_HOPS))
-_TYPE = f"WITH {_QUESTIONS} SELECT id, CASE WHEN {_RL.format('compar|versus| vs|differ|higher|lower')} THEN 'comparison' WHEN {_RL.format('(risk|suppl|depend).*companies that.*(risk|suppl|depend)|chain')} THEN 'multi-hop' WHEN {_RL.format('how many|total|count')} THEN 'aggregation' WHEN {_RL.format('[0-9][0-9][0-9][0-9]')} THEN 'temporal' WHEN {_RL.format('suppl|depend|partner|rival|risk')} THEN 'relationship' ELSE 'factual' END AS kind FROM q"
-both("question_type", _TYPE, _spark(_TYPE))
-both("temporal_constraints", f"""WITH {_QUESTIONS}, x AS (SELECT id, t, regexp_extract(t, '([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1) AS iso, regexp_extract(t, 'Q([1-4]) [0-9]{{4}}', 1) AS qq, regexp_extract(t, '([0-9]{{4}})', 1) AS y, regexp_extract(t, 'June ([0-9]{{1,2}}), [0-9]{{4}}', 1) AS june FROM q)
-SELECT id, CASE WHEN iso <> '' THEN iso || ' 00:00:00' WHEN june <> '' THEN y || '-06-' || lpad(june, 2, '0') || ' 00:00:00' WHEN qq <> '' THEN y || CASE qq WHEN '1' THEN '-03-31' WHEN '2' THEN '-06-30' WHEN '3' THEN '-09-30' ELSE '-12-31' END || ' 23:59:59' WHEN y <> '' THEN y || '-12-31 23:59:59' END AS reference FROM x""")
-both("entity_linking", f"WITH {_QUESTIONS}, terms(term, node) AS (VALUES ('nvidia', 'NVDA'), ('apple', 'AAPL'), ('microsoft', 'MSFT'), ('amd', 'AMD'), ('intel', 'INTC')) SELECT id, node FROM q JOIN terms ON contains(' ' || lower(regexp_replace(t, '[^A-Za-z0-9]', ' ', 'g')) || ' ', ' ' || term || ' ')",
-     f"WITH {_QUESTIONS}, terms(term, node) AS (VALUES ('nvidia', 'NVDA'), ('apple', 'AAPL'), ('microsoft', 'MSFT'), ('amd', 'AMD'), ('intel', 'INTC')) SELECT id, node FROM q JOIN terms ON contains(' ' || lower(regexp_replace(t, '[^A-Za-z0-9]', ' ')) || ' ', ' ' || term || ' ')")
-# The same analysis over every user turn.
-_turns = lambda s: s.replace(_QUESTIONS, "q AS (SELECT conv_id, turn, text AS t FROM conversations WHERE role = 'user')").replace("SELECT id,", "SELECT conv_id, turn,")
-for _name in ("intent_detection", "hop_depth", "question_type", "temporal_constraints", "entity_linking"):
-    both(f"{_name}_turns", s := _turns(SQL[_name]), _spark(s).replace(", 'g'", ""))
 both("sufficiency_gate", """WITH e AS (SELECT c.conv_id AS q, d.doc_id, d.source, d.lang, d.doc_id % 365 AS day FROM conversations c JOIN documents d ON d.doc_id = c.conv_id * 3 + c.turn WHERE c.role = 'user'),
 a AS (SELECT q, COUNT(*) AS n, SUM(CASE WHEN day > 300 THEN 1 ELSE 0 END) AS late, SUM(CASE WHEN source IS NOT NULL THEN 1 ELSE 0 END) AS sourced, COUNT(DISTINCT source) AS entities, SUM(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) AS rel FROM e GROUP BY q)
 SELECT q, CASE WHEN n < 1 THEN 'count' WHEN late > 0 THEN 'temporal' WHEN sourced = 0 THEN 'provenance' WHEN entities < 2 THEN 'entity' WHEN rel = 0 THEN 'relationship' ELSE 'sufficient' END AS outcome FROM a""")

@@ -30,9 +30,19 @@ def duck():
     return c
 
 
+@pytest.fixture(scope="module")
+def parts(spark, tmp_path_factory):
+    """The same tables as folders of several files."""
+    top = tmp_path_factory.mktemp("parts")
+    for f in os.listdir(SF):
+        spark.read.parquet(f"{SF}/{f}").repartition(3).write.parquet(str(top / f))
+    return str(top)
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.SQL))
-def test_query(spark, duck, name):
-    got, want = catalogue.QUERIES[name](spark, SF).toPandas(), duck.sql(catalogue.SQL[name]).df()
+def test_query(spark, duck, parts, name):
+    """Spark reads folders of files, DuckDB the single ones."""
+    got, want = catalogue.QUERIES[name](spark, parts).toPandas(), duck.sql(catalogue.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
 
@@ -40,7 +50,7 @@ def test_query(spark, duck, name):
 def test_scoped_union_searches_all_vectors(spark):
     """Vectors of high ids are found, and the best of all vectors are there."""
     sf = SF.replace("0.001", "0.01")
-    got = catalogue.QUERIES["scoped_union_topk"](spark, sf).toPandas()
+    got = catalogue.QUERIES["scoped_union_dedup"](spark, sf).toPandas()
     best = catalogue.QUERIES["vector_topk"](spark, sf).toPandas()
     assert len(got) == 40 and got.vec_id.is_unique and got.vec_id.max() >= 100
     assert set(best.vec_id) <= set(got.vec_id) and (got.first_source == 0).sum() == 8
@@ -50,3 +60,12 @@ def test_scoped_union_searches_all_vectors(spark):
 def test_analysis_reads_every_user_turn(spark, name):
     turns = spark.read.parquet(f"{SF}/conversations.parquet").where("role = 'user'").count()
     assert turns > 9 and catalogue.QUERIES[f"{name}_turns"](spark, SF).count() == turns
+
+
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL)))
+def test_query_without_sql(spark, parts, name):
+    assert catalogue.QUERIES[name](spark, parts).count() > 0
+
+
+def test_ingestion_of_a_single_file(spark):
+    assert catalogue.QUERIES["live_micro_batch"](spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").distinct().count()
