@@ -11,7 +11,8 @@ from .base import both, query, run
 
 both("dq_orders", "SELECT o_orderstatus, COUNT(*) AS n, CAST(SUM(CASE WHEN o_totalprice <= 0 THEN 1 ELSE 0 END) AS BIGINT) AS bad_price, COUNT(*) - COUNT(o_orderdate) AS no_date, CAST(SUM(CASE WHEN c_custkey IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS orphan FROM orders LEFT JOIN customer ON c_custkey = o_custkey GROUP BY o_orderstatus")
 both("dq_events", "SELECT event_id, CASE WHEN ts IS NULL THEN 'missing_time' WHEN value < 0 THEN 'negative' WHEN event_type NOT IN ('click', 'view', 'purchase') THEN 'unknown_type' ELSE 'ok' END AS code FROM events")
-both("dq_duplicates", "SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 AS duplicate FROM documents")
+both("dq_duplicates", "SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 AS duplicate FROM documents",
+     "SELECT doc_id, row_number() OVER (PARTITION BY sha2(text, 256) ORDER BY doc_id) > 1 AS duplicate FROM documents")
 both("resolve_entities", """WITH d AS (SELECT s_suppkey AS id, s_name AS name, s_nationkey AS nk FROM supplier)
 SELECT c_custkey, coalesce(a.id, b.id) AS entity_id, CASE WHEN a.id IS NOT NULL THEN 'id' WHEN b.id IS NOT NULL THEN 'nation' ELSE 'unresolved' END AS method, CASE WHEN a.id IS NOT NULL THEN 1.0 WHEN b.id IS NOT NULL THEN 0.95 ELSE 0.0 END AS confidence
 FROM customer LEFT JOIN d a ON a.id = c_custkey LEFT JOIN (SELECT nk, MIN(id) AS id FROM d GROUP BY nk) b ON b.nk = c_nationkey""",
@@ -136,6 +137,6 @@ def wilson_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("quality", "n", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
-both("upper_median", "SELECT c_nationkey, list_sort(list(c_acctbal))[CAST(COUNT(*) // 2 AS INTEGER) + 1] AS m FROM customer GROUP BY c_nationkey", "SELECT c_nationkey, element_at(sort_array(collect_list(c_acctbal)), CAST(COUNT(*) div 2 AS INT) + 1) AS m FROM customer GROUP BY c_nationkey")
+both("upper_median", "SELECT c_nationkey, list_sort(list(c_acctbal))[CAST(COUNT(*) // 2 AS INTEGER) + 1] AS m FROM customer GROUP BY c_nationkey", """SELECT c_nationkey, m FROM (SELECT c_nationkey, c_acctbal AS m, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) AS i, COUNT(*) OVER (PARTITION BY c_nationkey) AS n FROM customer) x WHERE i = n div 2 + 1""")
 both("holm_adjust", "WITH p AS (SELECT n_nationkey AS id, (n_nationkey + 1) / 500.0 AS p FROM nation), r AS (SELECT id, p, row_number() OVER (ORDER BY p, id) AS i, COUNT(*) OVER () AS n FROM p) SELECT id, ROUND(CAST(least(1, MAX(p * (n - i + 1)) OVER (ORDER BY p, id ROWS UNBOUNDED PRECEDING)) AS DOUBLE), 6) AS adjusted FROM r")
 both("correlation", "SELECT event_type, ROUND(corr(value, event_id % 97), 5) AS r FROM events GROUP BY event_type")

@@ -61,11 +61,16 @@ def test_text_and_time(spark):
 
 
 def test_entry_stands_without_the_corpus_operators(tmp_path):
+    """As the driver does: both llm folders and the pipeline go, the rest imports, its tests are found, and one of them passes."""
     import shutil
 
-    for name in ("asofworks", "__spark_entry__.py"):
+    for name in ("asofworks", "tests", "__spark_entry__.py", "bench.py"):
         src = REPO / name
         (shutil.copytree if src.is_dir() else shutil.copy)(src, tmp_path / name)
-    shutil.rmtree(tmp_path / "asofworks/llm", ignore_errors=True)
-    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op') for k in e.queries()))"], cwd=tmp_path, capture_output=True, text=True)
-    assert out.returncode == 0 and out.stdout.split()[1] == "False", out.stderr
+    for name in ("asofworks/llm", "tests/llm"):
+        shutil.rmtree(tmp_path / name, ignore_errors=True)
+    call = lambda *args: subprocess.run([sys.executable, *args], cwd=tmp_path, capture_output=True, text=True)
+    out = call("-c", "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op') for k in e.queries()), set(e.oracle_sql()) <= set(e.queries()))")
+    assert out.returncode == 0 and out.stdout.split()[1:] == ["False", "True"], out.stderr
+    assert call("-m", "pytest", "tests", "--collect-only", "-q").returncode == 0
+    assert call("-m", "pytest", "tests/test_operators.py", "-q", "-k", "text_and_time").returncode == 0
