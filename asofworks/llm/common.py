@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows a batch function sees at once. Spark itself bounds an Arrow batch by bytes (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless the caller sets it).
+#: Rows in one Arrow batch, and a batch function sees at once; Spark bounds a batch by bytes too (spark.sql.execution.arrow.maxBytesPerBatch).
 ARROW_ROWS = 400
 
 #: ``A-Z`` to ``a-z`` in UTF-8 bytes; every other byte stays.
@@ -161,8 +161,14 @@ def restored(df: DataFrame, like: DataFrame, *needed: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with the batches cut into slices of ``ARROW_ROWS``; ``make`` runs once in each task and returns the batch function."""
+    """``mapInArrow`` with batches of ``ARROW_ROWS``; ``make`` runs once in each task and returns the batch function.
+
+    Spark reads the session's limit when the plan runs, so a larger one is lowered and stays lowered.
+    """
     ship(df.sparkSession)
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
