@@ -185,3 +185,15 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str | None]:
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+def pieces_of(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """``data`` in stretches of about ``size`` bytes, cut at spaces: no word is cut, and a long text needs no list of all its words."""
+    at = 0
+    while len(data) - at > size:
+        end = data.find(b" ", at + size)
+        if end < 0:
+            break
+        yield data[at:end]
+        at = end
+    yield data[at:] if at else data
