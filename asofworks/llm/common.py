@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -114,6 +115,12 @@ def release(spark: SparkSession) -> int:
     return len(held)
 
 
+def forget(spark: SparkSession) -> None:
+    """Let go of the shuffle files of stages whose results are settled: Spark deletes them once the driver's collector finds that nothing refers to them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Parts that a salted join splits each key into.
 SALTS = 8
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, carried, column, restore_columns, settle, ship
+from .common import arrow_map, carried, column, forget, restore_columns, settle, ship
 
 WIDTH = 100
 #: Positions of a text that are named at once.
@@ -262,6 +262,7 @@ def _second_ranking(pairs: DataFrame) -> DataFrame:
     The first row of a task is held against the last of the task before, in a table of one row a task.
     """
     ranked = settle(pairs.sort("a", "b", "doc_id", "at").mapInArrow(_rank_pairs, "doc_id long, at long, task int, a long, b long, last_a long, last_b long, last_doc long, last_at long"), "ranked")
+    forget(pairs.sparkSession)  # the sorted pairs
     before = Window.orderBy("task")
     edges = ranked.where("task is not null").select("*", *[F.lag(c).over(before).alias(f"was_{c}") for c in ("last_a", "last_b", "last_doc", "last_at")])
     over = edges.where("a = was_last_a and b = was_last_b and not (doc_id = was_last_doc and at = was_last_at)")
@@ -276,6 +277,7 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """
     keyed = _keyed(docs.where("doc_id is not null"))
     ranked = settle(_first_ranking(_sampled(keyed, width)), "stretches")
+    forget(docs.sparkSession)  # the sorted stretches
     positions = _second_ranking(_name_pairs(keyed, ranked.where("open").select("doc_id", "at", "n"), width))
     return ranked.where("not open").select("doc_id", "at", "n").union(positions)
 
