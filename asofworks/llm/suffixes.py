@@ -229,6 +229,8 @@ def _name_pairs(keyed: DataFrame, opened: DataFrame, width: int) -> DataFrame:
                         to = min(b, at + CHUNK)
                         named = names(raw[at : to + width - 1], width - half)
                         i, j = np.searchsorted(ends, at, "right"), np.searchsorted(wanted, to)
+                        if i == j:
+                            continue
                         own = np.concatenate([np.arange(max(x, at), min(y, to)) for x, y in zip(wanted[i:j].tolist(), ends[i:j].tolist(), strict=True)])
                         yield [named[own - at].view(np.int64), named[own - at + half].view(np.int64), np.full(len(own), doc_id, np.int64), (tag << 32) + own]
 
