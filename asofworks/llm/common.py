@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -116,9 +117,15 @@ def release(spark: SparkSession) -> int:
 
 
 def forget(spark: SparkSession) -> None:
-    """Let go of the shuffle files of stages whose results are settled: Spark deletes them once the driver's collector finds that nothing refers to them."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let go of the shuffle files of stages whose results are settled.
+
+    Spark deletes them once the driver's collector finds that nothing refers to them. That takes two rounds: the first frees what
+    the finished queries hold, and Spark's cleaner needs a moment for it. It is a matter of disk alone; results do not depend on it.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 #: Parts that a salted join splits each key into.
