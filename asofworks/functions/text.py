@@ -50,16 +50,6 @@ def count_in(words: Column, vocabulary: tuple[str, ...]) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(*vocabulary)))
 
 
-def html_to_text(c: Column) -> Column:
-    """Visible text: scripts, styles and tags go, blocks end lines, the usual entities are decoded."""
-    x = F.regexp_replace(c, r"(?is)<(script|style|noscript|svg|head)\b.*?</\1\s*>|<!--.*?-->", " ")
-    x = F.regexp_replace(x, r"(?i)</?(p|div|br|li|tr|h[1-6]|section|article|table|ul|ol|nav|footer|header)\b[^>]*>", "\n")
-    x = F.regexp_replace(x, r"<[^>]*>", " ")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(name), F.lit(char))
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"[ \t\r\f]+", " "), r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")
-
-
 def paragraphs(c: Column, pattern: str = r"\n\s*\n") -> Column:
     return F.filter(F.transform(F.split(c, pattern), F.trim), lambda p: p != "")
 

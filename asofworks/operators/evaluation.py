@@ -96,18 +96,41 @@ def normal_tail(z: Column) -> Column:
     return poly * F.exp(-x * x)
 
 
-def wilcoxon(pairs: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Signed-rank test of paired values: W (the smaller rank sum), the number of differences, and p by the normal approximation with ties corrected."""
+#: Differences of a group up to which the rank test is exact.
+EXACT = 50
+
+
+def _rank_sum_p(ranks: Column, w: Column) -> Column:
+    """Two-sided p of a signed-rank sum: every rank counts or not with equal chance, and the chances of all sums come from adding one rank after the other. Ranks and the sum are doubled, so that ties stay whole."""
+    r2 = F.transform(ranks, lambda r: F.round(r * 2).cast("int"))
+    size = F.aggregate(r2, F.lit(0), lambda s, r: s + r) + 1
+    start = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
+    shifted = lambda p, r: F.slice(F.concat(F.array_repeat(F.lit(0.0), r), p), F.lit(1), F.size(p))
+    chances = F.aggregate(r2, start, lambda p, r: F.zip_with(p, shifted(p, r), lambda a, b: (a + b) / 2))
+    return F.least(F.lit(1.0), 2 * F.aggregate(F.slice(chances, F.lit(1), F.round(w * 2).cast("int") + 1), F.lit(0.0), lambda s, x: s + x))
+
+
+def wilcoxon(pairs: DataFrame, by: list[str], x: str, y: str, exact: int = EXACT) -> DataFrame:
+    """Signed-rank test of paired values: (w, n, p) with the smaller rank sum, the number of differences that are not zero, and a two-sided p.
+
+    p is exact for at most ``exact`` differences, ties included (tied ones share their mean rank and the distribution is that of these ranks);
+    beyond, it is that of the normal approximation with ties corrected. Without differences p is 1.
+    """
     d = pairs.select(*by, (F.col(x) - F.col(y)).alias("d")).where("d <> 0").withColumn("m", F.round(F.abs("d"), 12))
     ties = d.groupBy(*by, "m").agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("up"))
     w = Window.partitionBy(*by).orderBy("m")
     rank = F.coalesce(F.sum("t").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + (F.col("t") + 1) / 2
-    ranked = ties.withColumn("r", rank)
-    s = ranked.groupBy(*by).agg(F.sum(F.col("r") * F.col("up")).alias("plus"), F.sum(F.col("r") * (F.col("t") - F.col("up"))).alias("minus"), F.sum("t").cast("double").alias("n"), F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("tied"))
-    n = F.col("n")
+    ranked = ties.withColumn("r", rank).withColumn("upto", F.sum("t").over(w))
+    few = F.when(F.col("upto") <= exact, F.array_repeat("r", F.col("t").cast("int")))
+    s = ranked.groupBy(*by).agg(
+        F.sum(F.col("r") * F.col("up")).alias("plus"), F.sum(F.col("r") * (F.col("t") - F.col("up"))).alias("minus"), F.sum("t").cast("double").alias("n"),
+        F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("tied"), F.flatten(F.collect_list(few)).alias("ranks"),
+    )
+    n, low = F.col("n"), F.least("plus", "minus")
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("tied") / 48)
-    z = F.try_divide(F.least("plus", "minus") - n * (n + 1) / 4, sd)
-    return s.select(*by, F.least("plus", "minus").alias("w"), n.cast("long").alias("n"), F.round(F.coalesce(normal_tail(z), F.lit(1.0)), 6).alias("p"))
+    z = F.try_divide(low - n * (n + 1) / 4, sd)
+    p = F.when(n <= exact, _rank_sum_p(F.when(n <= exact, F.col("ranks")).otherwise(F.array(F.lit(1.0))), low)).otherwise(F.coalesce(normal_tail(z), F.lit(1.0)))
+    return s.select(*by, low.alias("w"), n.cast("long").alias("n"), F.round(p, 6).alias("p"))
 
 
 def friedman(rows: DataFrame, fold: str, config: str, value: str) -> DataFrame:

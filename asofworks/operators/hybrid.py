@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..functions.time import is_available
+from ..functions.time import is_available, period_ends
+from . import retrieval
+from .analysis import topic_sections
+from .gate import gate
 
 
 def fetch_sizes(top_k: int, balanced: bool = False) -> tuple[int, int]:
@@ -29,60 +32,42 @@ def hashed_embedding(text: Column, width: int = 64) -> Column:
     return F.transform(sums, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
 
 
-def question_paths(analysed: DataFrame, edges: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
-    """Scored paths of one or two edges from the entities of each analysed question.
+#: What an edge may carry for its evidence; a column that the edges lack is null.
+EDGE_FIELDS = {"event_ts": "timestamp_ntz", "chunk_id": "string", "document_id": "string", "source": "string", "source_url": "string", "source_reference": "string", "publication_date": "string", "fiscal_period": "string", "source_company": "string", "provenance_verified": "boolean", "attribution_status": "string"}
 
-    ``edges(edge_id, src, dst, relationship, available_ts, confidence, chunk_id, document_id)``; a question with a
-    reference time sees only what was available then, and a row without time only without one. Walked both
-    ways, the second edge never returns to a node of the path. Rows: question_id, evidence_id, path, edge_ids,
-    relationships, hop_count, confidence, available_ts, chunk_id and document_id of the last edge, score.
+
+def evidence_rows(paths: DataFrame, edges: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Paths of :func:`traversal.top_paths` with the fields of an evidence record, by a join of their edges alone.
+
+    Document, chunk, source and period are those of the last edge, the source company of the first; event time
+    is the latest there is; provenance holds if it holds for every edge (an edge without a label counts as verified). The text says each edge in
+    its own direction, by ``names(node_id, name)`` where there are some, and of a single edge its period and day.
     """
-    cols = ["edge_id", "relationship", "available_ts", "confidence", "chunk_id", "document_id"]
-    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), *cols).union(edges.select("dst", "src", *cols))
-    seeds = analysed.select("question_id", "question", "reference", "intents", "hops", F.explode("entities").alias("a"))
-    seen = lambda t: F.col("reference").isNull() | is_available(F.col(t), F.col("reference"))
-    one = seeds.join(both, "a").where(seen("available_ts")).select(
-        "question_id", "question", "reference", "intents", "hops", F.array("a", "b").alias("path"), F.array("edge_id").alias("edge_ids"), F.array("relationship").alias("relationships"),
-        "confidence", "available_ts", "chunk_id", "document_id", F.col("b").alias("end_"),
-    )
-    far = both.select(*[F.col(c).alias(f"{c}_2") for c in both.columns])
-    two = one.where("hops > 1").join(far, F.col("end_") == F.col("a_2")).where(seen("available_ts_2") & ~F.array_contains("path", F.col("b_2")))
-    two = two.select(
-        "question_id", "question", "reference", "intents", "hops", F.concat("path", F.array("b_2")).alias("path"), F.concat("edge_ids", F.array("edge_id_2")).alias("edge_ids"),
-        F.concat("relationships", F.array("relationship_2")).alias("relationships"), (F.col("confidence") * F.col("confidence_2")).alias("confidence"),
-        F.greatest("available_ts", "available_ts_2").alias("available_ts"), F.col("chunk_id_2").alias("chunk_id"), F.col("document_id_2").alias("document_id"), F.col("b_2").alias("end_"),
-    )
-    found = one.union(two).withColumn("hop_count", F.size("edge_ids"))
-    found = found.withColumn("evidence_id", F.when(F.col("hop_count") == 1, F.concat(F.lit("edge:"), F.col("edge_ids")[0])).otherwise(F.concat(F.lit("path:"), F.array_join("edge_ids", ":"))))
-    one_each = Window.partitionBy("question_id", "evidence_id").orderBy(F.array_join("path", ">"))  # an edge met from two entities counts once
-    found = found.withColumn("n_", F.row_number().over(one_each)).where("n_ = 1").drop("n_")
-    wanted = F.size(F.array_intersect("relationships", "intents"))
-    multiplier = F.when(F.size("intents") == 0, 1.0).when(F.forall("relationships", lambda r: F.array_contains("intents", r)), 8.0).when(wanted > 0, 5.0).otherwise(0.2)
-    company = F.when(F.lower("question").rlike("compan|firm|corporation") & F.col("end_").startswith("company:") & (F.size("intents") > 0), 1.5).otherwise(1.0)
-    score = F.col("confidence") / (1 + 0.5 * (F.col("hop_count") - 1)) * multiplier * company
-    return found.select("question_id", "evidence_id", "path", "edge_ids", "relationships", "hop_count", "confidence", "available_ts", "chunk_id", "document_id", F.round(score, 6).alias("score"))
-
-
-def evidence_rows(paths: DataFrame) -> DataFrame:
-    """Paths with the fields of an evidence record: ends, verbal form, relations in one string, times as text, and what the edges do not carry as null."""
-    steps = F.transform(F.sequence(F.lit(0), F.col("hop_count") - 1), lambda i: F.concat(F.get("path", i), F.lit(" --["), F.get("relationships", i), F.lit("]--> "), F.get("path", i + 1)))
+    own = [F.col(c) if c in edges.columns else F.lit(None).cast(t).alias(c) for c, t in EDGE_FIELDS.items()]
+    held = edges.select("edge_id", "src", "dst", "relationship", *own)
+    for end in ("src", "dst"):
+        said = held.withColumn(f"{end}_name", F.col(end)) if names is None else held.join(names.select(F.col("node_id").alias(end), F.col("name").alias(f"{end}_name")), end, "left").withColumn(f"{end}_name", F.coalesce(f"{end}_name", end))
+        held = said
+    steps = paths.select("question_id", "evidence_id", F.posexplode("edge_ids").alias("pos", "edge_id")).join(held, "edge_id")
+    fields = F.struct("pos", "src", "dst", "relationship", F.concat("src_name", F.lit(" --["), "relationship", F.lit("]--> "), "dst_name").alias("said"), *EDGE_FIELDS)
+    whole = steps.groupBy("question_id", "evidence_id").agg(F.array_sort(F.collect_list(fields)).alias("e"))  # three at most
+    last, first = F.element_at("e", -1), F.element_at("e", 1)
+    verified = F.forall("e", lambda x: F.coalesce(x["provenance_verified"], F.lit(True)))
     day = F.date_format("available_ts", "yyyy-MM-dd")
-    said = F.concat(F.array_join(steps, "; "), F.coalesce(F.concat(F.lit(" (as of "), day, F.lit(")")), F.lit("")))
-    null = F.lit(None).cast("string")
-    return paths.select(
-        "evidence_id", F.get("path", F.lit(0)).alias("source_node"), F.element_at("path", -1).alias("target_node"), F.array_join("relationships", " -> ").alias("relationship"), "path",
-        "hop_count", said.alias("text"), "score", "confidence", "document_id", "chunk_id", F.date_format("available_ts", "yyyy-MM-dd HH:mm:ss").alias("available_time"),
-        null.alias("event_time"), null.alias("publication_date"), null.alias("fiscal_period"), null.alias("source"), null.alias("source_url"), null.alias("source_reference"),
-        F.regexp_extract(F.get("path", F.lit(0)), "([^:]*)$", 1).alias("source_company"), F.lit(True).alias("provenance_verified"), "edge_ids",
+    one = F.size("e") == 1
+    extra = F.array_join(F.array_compact(F.array(F.when(last["fiscal_period"].isNotNull(), F.concat(F.lit("period: "), last["fiscal_period"])), F.when(day.isNotNull(), F.concat(F.lit("as of "), day)))), ", ")
+    text = F.concat(F.array_join(F.transform("e", lambda x: x["said"]), " -> "), F.when(one & (extra != ""), F.concat(F.lit(" ("), extra, F.lit(")"))).otherwise(""))
+    status = F.when(one, F.coalesce(last["attribution_status"], F.lit("verified"))).when(verified, "verified_path").otherwise("unverified_path_edge")
+    kept = paths.join(whole, ["question_id", "evidence_id"])
+    return kept.select(
+        "question_id", "evidence_id", "rank", F.get("path", F.lit(0)).alias("source_node"), F.element_at("path", -1).alias("target_node"), F.array_join("relationships", " -> ").alias("relationship"),
+        "relationships", "path", "edge_ids", "hop_count", text.alias("text"), "score", "confidence", "available_ts", F.array_max(F.transform("e", lambda x: x["event_ts"])).alias("event_ts"),
+        *[last[c].alias(c) for c in ("document_id", "chunk_id", "source", "source_url", "source_reference", "publication_date", "fiscal_period")], first["source_company"].alias("source_company"),
+        verified.alias("provenance_verified"), status.alias("attribution_status"),
+        F.transform("e", lambda x: F.struct(x["src"].alias("source"), x["relationship"].alias("relationship"), x["dst"].alias("target"))).alias("graph_edges"),
     )
 
 
-def top_paths(paths: DataFrame, k: int) -> DataFrame:
-    """The best ``k`` paths of each question with ``rank``: score, fewer hops, later time, evidence_id."""
-    order = Window.partitionBy("question_id").orderBy(F.desc("score"), "hop_count", F.desc_nulls_last("available_ts"), "evidence_id")
-    return paths.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def fuse(vector: DataFrame, graph: DataFrame, k: int = 60, vector_weight: float = 1.0, graph_weight: float = 1.0, limit: int | None = None) -> DataFrame:
     """Reciprocal rank fusion of each question: ``(question_id, evidence_id, chunk_id, source_type, score, rank)``.
 
@@ -128,38 +113,11 @@ def rerank(evidence: DataFrame, top_k: int, weights: tuple[float, float, float,
     return out.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top_k).withColumn("rerank_score", F.round("full_", 5)).drop("full_")
 
 
-def gate(analysed: DataFrame, evidence: DataFrame) -> DataFrame:
-    """``(question_id, sufficient, reason, n_evidence, max_hops, found)``: the first check that a question's evidence fails.
-
-    Order: count, temporal, provenance, entity, relationship, hops. An entity is found if it stands on a path or its
-    words in a text; relationships fail only if all wanted ones are missing.
-    """
-    asked = ("entities", "intents", "reference", "hops")
-    own = evidence.drop(*asked).join(analysed.select("question_id", *asked), "question_id")
-    bare = lambda e: F.replace(F.regexp_extract(e, "([^:]*)$", 1), F.lit("_"), F.lit(" "))
-    covered = F.filter("entities", lambda e: F.array_contains(F.coalesce("path", F.expr("cast(array() as array<string>)")), e) | F.lower(F.coalesce("text", F.lit(""))).contains(F.lower(bare(e))))
-    late = F.col("reference").isNotNull() & ~is_available(F.col("available_ts"), F.col("reference"))
-    sourced = F.col("document_id").isNotNull() & (F.col("chunk_id").isNotNull() | F.col("available_ts").isNotNull())
-    wanted = F.arrays_overlap("relationships", "intents")
-    sums = own.groupBy("question_id").agg(
-        F.count("*").alias("n_evidence"), F.max(late).alias("late"), F.max(sourced).alias("sourced"), F.max("hop_count").alias("max_hops"), F.max(F.coalesce(wanted, F.lit(False))).alias("wanted"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(covered)))).alias("found"),
-    )
-    out = analysed.join(sums, "question_id", "left")
-    reason = (
-        F.when(F.coalesce("n_evidence", F.lit(0)) < 1, "count").when(F.col("late"), "temporal").when(~F.col("sourced"), "provenance")
-        .when(F.size(F.array_except("entities", "found")) > 0, "entity").when((F.size("intents") > 0) & ~F.col("wanted"), "relationship")
-        .when(F.col("max_hops") < F.col("hops"), "hops").otherwise("sufficient")
-    )
-    found = F.coalesce("found", F.expr("cast(array() as array<string>)"))
-    return out.select("question_id", (reason == "sufficient").alias("sufficient"), reason.alias("reason"), F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"), F.coalesce("max_hops", F.lit(0)).alias("max_hops"), found.alias("found"))
-
-
 def next_action(analysed: DataFrame, gated: DataFrame, top_k: int) -> DataFrame:
     """What a further round changes for each insufficient question, one action each: relationship names added, one hop more (three at most), a missing entity added, or twice the results."""
     held = analysed.join(gated.where("not sufficient"), "question_id")
     missing = F.array_except("entities", "found")
-    action = F.when(F.col("reason") == "relationship", "relationship").when(F.col("max_hops") < F.col("hops"), "hops").when(F.size(missing) > 0, "entity").otherwise("broaden")
+    action = F.when(F.col("reason").isin("relationship", "chain"), "relationship").when(F.col("max_hops") < F.col("hops"), "hops").when(F.size(missing) > 0, "entity").otherwise("broaden")
     words = F.when(action == "relationship", F.array_join(F.transform("intents", lambda i: F.lower(F.replace(i, F.lit("_"), F.lit(" ")))), " ")).when(action == "entity", F.regexp_extract(missing[0], "([^:]*)$", 1))
     question = F.concat_ws(" ", "question", words)
     hops = F.when(action == "hops", F.least(F.lit(3), F.col("hops") + 1)).otherwise(F.col("hops"))
@@ -167,7 +125,10 @@ def next_action(analysed: DataFrame, gated: DataFrame, top_k: int) -> DataFrame:
     return held.select("question_id", action.alias("action"), question.alias("question"), hops.alias("hops"), size.alias("top_k"))
 
 
-def orchestrate(analysed: DataFrame, retrieve: Callable[[DataFrame, int], DataFrame], top_k: int = 8, rounds: int = 2, reranker: Callable[[DataFrame, int], DataFrame] = rerank, judge: Callable[[DataFrame, DataFrame], DataFrame] = gate, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+def orchestrate(
+    analysed: DataFrame, retrieve: Callable[[DataFrame, int], DataFrame], top_k: int = 8, rounds: int = 2, reranker: Callable[[DataFrame, int], DataFrame] = rerank,
+    judge: Callable[[DataFrame, DataFrame], DataFrame] = gate, keep: Callable[[DataFrame], DataFrame] = lambda df: df,
+) -> tuple[DataFrame, DataFrame]:
     """Retrieve, rerank and judge all questions, then again those that are insufficient, ``rounds`` times at most.
 
     ``retrieve(analysed, fetch)`` gives evidence as :func:`rerank` takes it. New evidence replaces what has its id;
@@ -176,18 +137,84 @@ def orchestrate(analysed: DataFrame, retrieve: Callable[[DataFrame, int], DataFr
     """
     _, fetch = fetch_sizes(top_k)
     asked = keep(analysed)
+    ranked = lambda best: best.withColumn("rank", F.col("place")) if "place" in best.columns else best
     pool = keep(retrieve(asked, fetch).withColumn("round", F.lit(0)))
     best = keep(reranker(pool, top_k))
-    gated = keep(judge(asked, best).withColumn("rounds", F.lit(0)))
+    gated = keep(judge(asked, ranked(best)).withColumn("rounds", F.lit(0)))
     for r in range(1, rounds + 1):
-        change = next_action(asked, gated, top_k)
+        change = keep(next_action(asked, gated, top_k))
+        if change.isEmpty():
+            break
         more = asked.drop("question", "hops").join(change.select("question_id", "question", "hops"), "question_id")
         new = retrieve(keep(more), 2 * fetch).withColumn("round", F.lit(r))
         both = pool.unionByName(new)
         last = Window.partitionBy("question_id", "evidence_id").orderBy(F.desc("round"))
         pool = keep(both.withColumn("n_", F.row_number().over(last)).where("n_ = 1").drop("n_"))
         best = keep(reranker(pool, top_k))
-        again = judge(asked, best).withColumn("rounds", F.lit(r))
+        again = judge(asked, ranked(best)).withColumn("rounds", F.lit(r))
         done = gated.where("sufficient")
         gated = keep(done.unionByName(again.join(done.select("question_id"), "question_id", "left_anti")))
     return best, gated
+
+
+# Words that ask for the newest period, forms of periodic reports, and how many vectors each kind of search brings.
+LATEST = r"\b(latest|most recent|current|recent quarter|last quarter|newest)\b"
+PERIODIC = ("10-Q", "10-K")
+TOPIC_K, PERIOD_K, COMPANY_K = 4, 6, 8
+
+
+def periods_as_of(asked: DataFrame, vectors: DataFrame, forms: tuple[str, ...] | None = None) -> DataFrame:
+    """``(question_id, company, fiscal_period, place)``: the periods of each asked company that were available at the question's time, newest first.
+
+    ``asked(question_id, company, reference)``. Periods of a company are few, so the first moment of each is taken before the join.
+    """
+    rows = vectors.where(F.col("fiscal_period").isNotNull())
+    if forms:
+        rows = rows.where(F.col("document_type").isin(*forms))
+    first = rows.groupBy("company", "fiscal_period").agg(F.min("available_ts").alias("since"), F.count_if(F.col("available_ts").isNull()).alias("open_"))
+    seen = F.col("reference").isNull() | is_available(F.col("since"), F.col("reference"))
+    held = asked.select("question_id", "company", "reference").distinct().join(first, "company").where(seen)
+    order = Window.partitionBy("question_id", "company").orderBy(F.desc("fiscal_period"))
+    return held.select("question_id", "company", "fiscal_period", F.row_number().over(order).alias("place"))
+
+
+def vector_side(analysed: DataFrame, vectors: DataFrame, encode: Callable[[Column], Column], fetch: int, scoped: bool = True) -> DataFrame:
+    """``(question_id, chunk_id, rank, topical)``: the vectors of every question, all its searches in one batch.
+
+    ``vectors`` as :func:`retrieval.search` takes them; ``encode`` makes a vector of a text. Every search sees only what was available
+    at its question's reference time; a question whose time cannot be read has none. With ``scoped`` the searches inside the
+    filings of the (at most two) companies of a question go first: by the section of each topic it touches (in the topic's form, in any
+    where that has none), by the (at most two) periods it names or, if it asks for the latest, by the newest periodic report and the newest filing,
+    and by company alone; then the search over everything. A vector counts where it stands first. Cut at ``fetch``, or
+    at the number of scoped hits if that is more.
+    """
+    asked = analysed.where(~F.coalesce(F.col("unreadable"), F.lit(False))) if "unreadable" in analysed.columns else analysed
+    text = F.lit(None).cast("string")
+    cols = ["question_id", "text", "reference", "company", "fiscal_period", "document_type", "k", "o1", "o2", "o3", "typed"]
+    plan = asked.select("question_id", F.col("question").alias("text"), "reference", text.alias("company"), text.alias("fiscal_period"), text.alias("document_type"), F.lit(fetch).alias("k"), F.lit(2).alias("o1"), F.lit(0).alias("o2"), F.lit(0).alias("o3"), F.lit(False).alias("typed"))
+    if scoped:
+        own = F.slice(F.filter("entities", lambda e: e.startswith("company:")), 1, 2)
+        each = asked.select("question_id", "question", "reference", F.posexplode(own).alias("o2", "company"))
+        by = each.withColumns({"text": F.col("question"), "fiscal_period": text, "document_type": text, "typed": F.lit(False)})
+        alone = by.withColumns({"k": F.lit(COMPANY_K), "o1": F.lit(1), "o3": F.lit(99)})
+        named = each.select("*", F.posexplode(F.slice(period_ends(F.col("question")), 1, 2)).alias("o3", "fiscal_period"))
+        newest = each.where(F.lower("question").rlike(LATEST) & (F.size(period_ends(F.col("question"))) == 0))
+        first = periods_as_of(newest, vectors, PERIODIC).where("place = 1").withColumn("o3", F.lit(0))
+        any_form = periods_as_of(newest, vectors).where("place = 1").withColumn("o3", F.lit(1))
+        latest = first.unionByName(any_form.join(first.select("question_id", "company", "fiscal_period"), ["question_id", "company", "fiscal_period"], "left_anti"))
+        timed = named.unionByName(newest.join(latest.drop("place"), ["question_id", "company"]).select(*named.columns))
+        timed = timed.withColumns({"text": F.col("question"), "document_type": text, "typed": F.lit(False), "k": F.lit(PERIOD_K), "o1": F.lit(1)})
+        topics = each.select("*", F.posexplode(topic_sections(F.col("question"))).alias("o3", "topic"))
+        topical = topics.select("*", F.col("topic.query").alias("text"), F.explode(F.array(F.col("topic.form"), text)).alias("document_type"))
+        topical = topical.withColumns({"fiscal_period": text, "k": F.lit(TOPIC_K), "o1": F.lit(0), "typed": F.col("document_type").isNotNull()})
+        for part in (alone, timed, topical):
+            plan = plan.unionByName(part.select(*cols))
+    plan = plan.withColumn("search_id", F.xxhash64("question_id", "o1", "o2", "o3", "typed"))
+    found = retrieval.search(vectors, plan.withColumn("q", encode(F.col("text"))))
+    hits = found.join(plan.select("search_id", "question_id", "o1", "o2", "o3", "typed"), "search_id")
+    hits = hits.withColumn("typed_", F.max("typed").over(Window.partitionBy("question_id", "o1", "o2", "o3"))).where((F.col("o1") > 0) | (F.col("typed") == F.col("typed_")))
+    hits = hits.withColumn("n_", F.count_if(F.col("o1") < 2).over(Window.partitionBy("question_id")))
+    place = F.struct("o1", "o2", "o3", "rank")
+    first = hits.groupBy("question_id", "vec_id").agg(F.min(place).alias("p"), F.first("n_").alias("n_"))
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("p", "vec_id")))
+    return ranked.where(F.col("rank") <= F.greatest(F.lit(fetch), F.col("n_"))).select("question_id", F.col("vec_id").alias("chunk_id"), "rank", (F.col("p.o1") == 0).alias("topical"))

@@ -36,7 +36,8 @@ def filtered(rows: DataFrame, company: str | None = None, document_id: str | Non
 def subgraph(nodes: DataFrame, edges: DataFrame, node_id: str, kind: str | None = None) -> DataFrame:
     """Edges at a node with the other end's name, type and degree; of one type of neighbours if ``kind`` is given."""
     near = neighbours(edges, F.lit(node_id)).withColumnRenamed("other", "node_id")
-    degree = degrees(edges.join(near.select("node_id").distinct(), (edges["src"] == F.col("node_id")) | (edges["dst"] == F.col("node_id")), "left_semi")).select("node_id", "degree")
+    ends = edges.select(F.col("src").alias("node_id")).union(edges.select("dst"))
+    degree = ends.join(near.select("node_id").distinct(), "node_id", "left_semi").groupBy("node_id").agg(F.count("*").alias("degree"))
     out = near.join(nodes.select("node_id", "name", "node_type"), "node_id", "left").join(degree, "node_id", "left")
     return out if kind is None else out.where(F.lower("node_type") == kind.lower())
 

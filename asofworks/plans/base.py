@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.sinks import settle
+from ..sources.sinks import exists, fingerprint, remove, scratch, settle
 
 #: A table after FROM, JOIN or a comma of them, and the word behind it.
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -53,12 +53,22 @@ EDGES = """SELECT s_nationkey AS src, c_nationkey AS dst, MIN(l_shipdate) AS ava
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
   WHERE s_nationkey <> c_nationkey GROUP BY s_nationkey, c_nationkey"""
 
-_settled: dict[tuple[str, str], DataFrame] = {}
+_settled: dict[tuple[str, str], tuple[str, str, DataFrame]] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], make: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table of a folder, computed once an application for all queries that read it, and again when a file of ``tables`` changes; the outdated one is deleted."""
+    key, print_ = (spark.sparkContext.applicationId, f"{name} {sf_dir}"), fingerprint(spark, *[f"{sf_dir}/{t}.parquet" for t in tables])
+    held = _settled.get(key)
+    if held and held[0] == print_ and exists(spark, held[1]):
+        return held[2]
+    if held:
+        remove(spark, held[1])
+    path = scratch(spark, f"{name}-{print_}")
+    _settled[key] = (print_, path, settle(make(), name, path))
+    return _settled[key][2]
 
 
 def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The trade edges of a table folder, aggregated once an application and settled for all graph queries."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _settled:
-        _settled[key] = settle(run(spark, sf_dir, EDGES), "trade")
-    return _settled[key]
+    """The trade edges of a table folder."""
+    return kept(spark, sf_dir, "trade", ("lineitem", "supplier", "orders", "customer"), lambda: run(spark, sf_dir, EDGES))

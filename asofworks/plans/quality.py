@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import html
 from ..functions import text as T
 from ..operators import metrics
 from .base import both, query, run
@@ -90,7 +91,7 @@ both("url_validity", "SELECT page_id, regexp_matches(url, '^https?://[^/?#]+') A
 
 @query()
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", T.html_to_text(F.col("html")).alias("text"))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", html.visible_text(F.col("html")).alias("text"))
 
 
 @query("SELECT doc_id, i + 1 AS part, substr(text, CAST(i * 1550 + 1 AS BIGINT), 1800) AS chunk FROM (SELECT doc_id, text, unnest(generate_series(0, CASE WHEN length(text) <= 1800 THEN 0 ELSE CAST(ceil((length(text) - 1800) / 1550.0) AS INTEGER) END)) AS i FROM documents WHERE text IS NOT NULL)")

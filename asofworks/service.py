@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import analysis, answers, hybrid, listing
+from .operators import analysis, answers, hybrid, listing, traversal
 from .sources.sinks import settle
 
 
@@ -82,9 +82,8 @@ class Service:
         edges = self.table("edges")
 
         def retrieve(a: DataFrame, fetch: int) -> DataFrame:
-            best = hybrid.top_paths(hybrid.question_paths(a, edges), fetch)
-            said = hybrid.evidence_rows(best).select("evidence_id", "text").distinct()
-            return best.join(said, "evidence_id").join(a.select("question_id", "question", "intents"), "question_id")
+            best = traversal.top_paths(a, edges, fetch)
+            return hybrid.evidence_rows(best, edges).join(a.select("question_id", "question", "intents"), "question_id")
 
         n = len(asked.first().entities)
         if asked.select(analysis.off_topic(F.col("question"), F.lit(n)).alias("off")).first().off:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -22,11 +23,42 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/asofworks-{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a scratch path and read it again, so that what reads it several times computes it once and survives lost executors."""
-    path = scratch(df.sparkSession, name)
+#: Scratch paths of settled tables by application.
+_settled: dict[str, list[str]] = {}
+
+
+def settle(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` to a scratch path and read it again, so that what reads it several times computes it once and survives lost executors. It lies there until :func:`release`."""
+    spark = df.sparkSession
+    path = path or scratch(spark, name)
+    _settled.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete every table of this application that is still settled, once the results that read them are done; returns how many."""
+    held = _settled.pop(spark.sparkContext.applicationId, [])
+    for path in held:
+        remove(spark, path)
+    return len(held)
+
+
+def fingerprint(spark: SparkSession, *paths: str) -> str:
+    """A digest of names, sizes and times of the files at ``paths``: it changes when any of them is written anew."""
+    said = []
+    for path in paths:
+        p, fs = _file_system(spark, path)
+        if not fs.exists(p):
+            said.append(f"{path} -")
+            continue
+        files = fs.listFiles(p, True)
+        found = []
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+        said += sorted(found)
+    return hashlib.sha256("\n".join(said).encode()).hexdigest()[:16]
 
 
 def _file_system(spark: SparkSession, path: str):

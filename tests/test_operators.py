@@ -6,6 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from asofworks.functions import html
 from asofworks.functions import text as T
 from asofworks.functions.time import parse_ts
 from asofworks.operators import asof, retrieval
@@ -54,8 +55,8 @@ def test_fusion_and_quota(spark):
 
 def test_text_and_time(spark):
     df = spark.createDataFrame([("Apple Holdings, Inc.", "2024", "<p>A&amp;B</p><script>x</script><p>c</p>", "320193")], "n string, t string, h string, k string")
-    r = df.select(T.strip_suffix(F.col("n")).alias("n"), parse_ts(F.col("t")).cast("string").alias("t"), T.html_to_text(F.col("h")).alias("h"), T.normalize_cik(F.col("k")).alias("k")).first()
-    assert (r.n, r.t, r.h, r.k) == ("apple", "2024-01-01 00:00:00", "A&B\nc", "0000320193")
+    r = df.select(T.strip_suffix(F.col("n")).alias("n"), parse_ts(F.col("t")).cast("string").alias("t"), html.visible_text(F.col("h")).alias("h"), T.normalize_cik(F.col("k")).alias("k")).first()
+    assert (r.n, r.t, r.h, r.k) == ("apple", "2024-01-01 00:00:00", "A&B c", "0000320193")
     w = spark.createDataFrame([("A" * 6000,)], "x string").select(T.windows(F.col("x")).alias("w")).first().w
     assert len(w) == 4 and max(map(len, w)) == 1800
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from asofworks.functions import records, time
 from asofworks.functions import text as T
-from asofworks.operators import analysis, answers, build, evaluation, hybrid, listing, validation
+from asofworks.operators import analysis, answers, build, evaluation, hybrid, listing, traversal, validation
 from asofworks.service import Service
 from asofworks.sources.sinks import settle
 
@@ -60,7 +60,7 @@ def test_longest_names_win(spark, nodes):
 
 
 def test_evidence_follows_time_and_intents(analysed, edges):
-    paths = hybrid.top_paths(hybrid.question_paths(analysed, edges), 10)
+    paths = traversal.top_paths(analysed, edges, 10)
     got = {}
     for r in paths.orderBy("question_id", "rank").collect():
         got.setdefault(r.question_id, []).append(r)
@@ -68,8 +68,8 @@ def test_evidence_follows_time_and_intents(analysed, edges):
     assert any(r.evidence_id == "edge:e0" for r in got[4])
     two = [r for r in got[7] if r.hop_count == 2]
     assert two and all(len(set(r.path)) == 3 for r in two) and any(r.evidence_id == "path:e1:e2" and abs(r.confidence - 0.855) < 1e-9 for r in two)
-    row = hybrid.evidence_rows(paths.where("question_id = 1")).orderBy(F.desc("score")).first()
-    assert len(row) == 21 and row.text == "company:NVDA --[HAS_RISK]--> risk:cyber (as of 2024-01-15)"
+    row = hybrid.evidence_rows(paths.where("question_id = 1"), edges).orderBy(F.desc("score")).first()
+    assert row.provenance_verified and row.document_id == "d1" and row.text == "company:NVDA --[HAS_RISK]--> risk:cyber (as of 2024-01-15)"
 
 
 def test_fusion_of_questions(spark):
@@ -89,9 +89,8 @@ def test_rerank_and_gate(spark):
 
 def test_orchestration_asks_again(analysed, edges):
     def retrieve(a, fetch):
-        best = hybrid.top_paths(hybrid.question_paths(a, edges), fetch)
-        said = hybrid.evidence_rows(best).select("evidence_id", "text").distinct()
-        return best.join(said, "evidence_id").join(a.select("question_id", "question", "intents"), "question_id")
+        best = traversal.top_paths(a, edges, fetch)
+        return hybrid.evidence_rows(best, edges).join(a.select("question_id", "question", "intents"), "question_id")
 
     some = analysed.where("question_id in (4, 5, 9)")
     best, gated = hybrid.orchestrate(some, retrieve, top_k=3, rounds=1, keep=lambda df: settle(df, "round"))
