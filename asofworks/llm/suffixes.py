@@ -25,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -70,10 +69,14 @@ def _lowest(values: np.ndarray, span: int, pick=np.minimum) -> np.ndarray:
     return pick(out[: len(out) - (span - size)], out[span - size :]) if span > size else out
 
 
-def stretches(raw: bytes, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Parts of (start, end, name, several): the positions from start to end have ``name`` as smallest half-length name of their window; ``several``: at more than one place."""
+def stretches(raw: bytes, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Parts of (start, end, name, whole, several): the positions from start to end have ``name`` as smallest half-length name of their window.
+
+    ``whole`` names all bytes that their strings cover, by the names of the three half-lengths that lie over them; ``several``: the
+    smallest is at more than one place.
+    """
     half = width // 2
-    span = width - half + 1
+    span, longest = width - half + 1, 3 * half - width + 1  # positions of a window; of a stretch that three half-lengths cover
     data = np.frombuffer(raw, np.uint8)
     for at in range(0, len(raw) - width + 1, CHUNK):
         named = names(data[at : at + CHUNK + width - 1], half)
@@ -84,7 +87,13 @@ def stretches(raw: bytes, width: int) -> Iterator[tuple[np.ndarray, np.ndarray,
         padded = np.concatenate((np.zeros(span - 1, np.uint64), low, np.zeros(span - 1, np.uint64)))
         if np.count_nonzero(_lowest(padded, span, np.maximum) == named) != len(start):  # as many places as stretches: one each
             several = np.array([np.count_nonzero(named[a : b + span - 1] == low[a]) > 1 for a, b in zip(start.tolist(), end.tolist(), strict=True)], bool)
-        yield at + start, at + end, low[start], several
+        if (end - start > longest).any():
+            cuts = -(-(end - start) // longest)
+            step = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+            start, end, several = np.repeat(start, cuts) + step * longest, np.repeat(end, cuts), np.repeat(several, cuts)
+            end = np.minimum(end, start + longest)
+        whole = _pair(_pair(named[start], named[start + half]), _pair(named[end - 1 + width - half], (end - start).astype(np.uint64)))
+        yield at + start, at + end, low[start], whole, several
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -125,16 +134,14 @@ def _shifted(values: np.ndarray, before) -> np.ndarray:
 
 
 def _sampled(keyed: DataFrame, width: int) -> DataFrame:
-    """Rows (name, digest, doc_id, at, n, several) of all stretches: ``at`` is the tag above the start, ``digest`` of all bytes that the strings cover."""
+    """Rows (name, digest, doc_id, at, n, several) of all stretches: ``at`` is the tag above the start, ``digest`` names all bytes that the strings cover."""
     ship(keyed.sparkSession)
-    digest = xxhash.xxh3_64_intdigest
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         for batch in batches:
             for doc_id, tag, raw in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "tag", "raw")), strict=True):
-                for start, end, name, several in stretches(raw, width):
-                    own = np.fromiter((digest(raw[a : b + width - 1]) for a, b in zip(start.tolist(), end.tolist(), strict=True)), np.uint64, len(start))
-                    yield [name.view(np.int64), own.view(np.int64), np.full(len(start), doc_id, np.int64), (tag << 32) + start, (end - start).astype(np.int32), several]
+                for start, end, name, whole, several in stretches(raw, width):
+                    yield [name.view(np.int64), whole.view(np.int64), np.full(len(start), doc_id, np.int64), (tag << 32) + start, (end - start).astype(np.int32), several]
 
     return keyed.mapInArrow(lambda batches: _batched(parts(batches), ["name", "digest", "doc_id", "at", "n", "several"]), "name long, digest long, doc_id long, at long, n int, several boolean")
 
