@@ -83,8 +83,8 @@ def normalize_entity_name(c: Column) -> Column:
 
 
 def normalize_answer(c: Column) -> Column:
-    """Lower case, without articles and ASCII punctuation, white space collapsed."""
-    x = F.regexp_replace(F.lower(c), r"\b(a|an|the)\b", " ")
+    """Lower case, without articles and ASCII punctuation, white space collapsed. Words are runs of letters, digits and underlines of any script."""
+    x = F.regexp_replace(F.lower(c), r"(?<![\p{L}\p{N}_])(a|an|the)(?![\p{L}\p{N}_])", " ")
     x = F.regexp_replace(x, "[!-/:-@\\[-`{-~]", "")
     return F.trim(F.regexp_replace(x, r"\s+", " "))
 

@@ -29,6 +29,11 @@ def node_type(c: Column) -> Column:
     return F.try_element_at(table, F.lower(F.trim(c)))
 
 
+def node_type_or_fail(c: Column) -> Column:
+    """The vocabulary's spelling of a type; a type it lacks fails the query."""
+    return F.coalesce(node_type(c), F.raise_error(F.concat(F.lit("Unknown node type: "), F.coalesce(c, F.lit("null")))).cast("string"))
+
+
 def is_relationship(c: Column) -> Column:
     return F.coalesce(c.isin(*RELATIONSHIPS), F.lit(False))
 

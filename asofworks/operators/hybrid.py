@@ -218,3 +218,37 @@ def vector_side(analysed: DataFrame, vectors: DataFrame, encode: Callable[[Colum
     first = hits.groupBy("question_id", "vec_id").agg(F.min(place).alias("p"), F.first("n_").alias("n_"))
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("p", "vec_id")))
     return ranked.where(F.col("rank") <= F.greatest(F.lit(fetch), F.col("n_"))).select("question_id", F.col("vec_id").alias("chunk_id"), "rank", (F.col("p.o1") == 0).alias("topical"))
+
+
+def balance(evidence: DataFrame, analysed: DataFrame, top_k: int, least: int = 3) -> DataFrame:
+    """The evidence of every question, shared out among the entities it names, with a new ``rank``.
+
+    In the order of the question's entities each takes up to ``least`` of the pieces that are not taken yet and speak of it: of its filing, with
+    it at an end of an edge, or naming it in a text whose origin is not doubted. Free places up to ``top_k`` go to the others in order of
+    rank; the result is ordered by score, former rank and id, and cut. A question of fewer than two entities is only cut.
+    ``evidence(question_id, rank, evidence_id, score, text)`` with the columns of :data:`gate.EVIDENCE` that are known; a question's pool is
+    as bounded as what it fetches.
+    """
+    names = [c for c in ("source_company", "provenance_verified", "graph_edges") if c in evidence.columns]
+    kinds = {"source_company": "string", "provenance_verified": "boolean", "graph_edges": "array<struct<source:string,relationship:string,target:string>>"}
+    rows = evidence.select("question_id", "rank", "evidence_id", "score", "text", *names)
+    for c, kind in kinds.items():
+        rows = rows if c in names else rows.withColumn(c, F.lit(None).cast(kind))
+    ends = F.flatten(F.transform(F.coalesce("graph_edges", F.expr(f"cast(array() as {kinds['graph_edges']})")), lambda e: F.array(e["source"], e["target"])))
+    piece = F.struct("rank", "evidence_id", "score", F.upper("source_company").alias("company"), ends.alias("ends"), F.when(F.coalesce("provenance_verified", F.lit(True)), F.lower("text")).alias("low"))
+    pools = rows.groupBy("question_id").agg(F.array_sort(F.collect_list(piece)).alias("pool")).join(analysed.select("question_id", "entities"), "question_id")
+
+    def speaks(p: Column, e: Column) -> Column:
+        bare = F.regexp_extract(e, "^(?:[^:]*:)?(.*)$", 1)
+        at_end = F.array_contains(p["ends"], e) | F.exists(p["ends"], lambda x: F.upper(x) == F.upper(bare))
+        return F.coalesce((p["company"] == F.upper(bare)) & (p["company"] != ""), F.lit(False)) | F.coalesce(at_end, F.lit(False)) | F.coalesce(p["low"].contains(F.lower(bare)), F.lit(False))
+
+    ids = lambda a: F.transform(a, lambda p: p["evidence_id"])
+    take = lambda taken, e: F.concat(taken, F.slice(ids(F.filter("pool", lambda p: speaks(p, e) & ~F.array_contains(taken, p["evidence_id"]))), 1, least))
+    shared = F.when(F.size("entities") < 2, F.expr("cast(array() as array<string>)")).otherwise(F.aggregate("entities", F.expr("cast(array() as array<string>)"), take))
+    out = pools.withColumn("taken", shared)
+    out = out.withColumn("rest", F.slice(ids(F.filter("pool", lambda p: ~F.array_contains("taken", p["evidence_id"]))), F.lit(1), F.greatest(F.lit(0), F.lit(top_k) - F.size("taken"))))
+    kept = out.select("question_id", F.explode(F.filter("pool", lambda p: F.array_contains(F.concat("taken", "rest"), p["evidence_id"]))).alias("p"))
+    order = Window.partitionBy("question_id").orderBy(F.desc("p.score"), "p.rank", "p.evidence_id")
+    ranked = kept.select("question_id", F.col("p.evidence_id").alias("evidence_id"), F.row_number().over(order).alias("rank")).where(F.col("rank") <= top_k)
+    return evidence.drop("rank").join(ranked, ["question_id", "evidence_id"])

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..operators import gate, pathmatch, provenance
+from ..operators import features, gate, hybrid, pathmatch, provenance
 from ..sources.sinks import settle
 from .base import QUERIES, SQL, query, run
-from .questions import _ANALYSED, NODES, analysed
+from .questions import _ANALYSED, _VECTORS, NODES, analysed
+from .questions import _vectors as vectors
 
 # Edges as an extraction would leave them: an edge a line, read from a chunk, in a document of some issuer. Both engines read these.
 _CLAIMS = """SELECT l_orderkey || '-' || l_linenumber AS edge_id, 'company:S' || l_suppkey AS src, CASE WHEN l_linenumber % 3 = 0 THEN 'risk:' || (l_partkey % 9) ELSE 'company:S' || (1 + l_partkey % 100) END AS dst,
@@ -172,3 +173,42 @@ def canonical_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
         ids.edge_id(own, F.lit("CITES"), to, F.lit("2024-01-01"), none, ids.json_object({"n": ids.json_number(F.col("n_chars"))})).alias("edge_id"),
         ids.uuid5(F.concat(F.lit("chunk:"), F.col("doc_id").cast("string"))).alias("point_id"),
     )
+
+
+# the greedy choice one piece at a time: a piece goes to the first entity that speaks for it and has a place left
+@query(f"""WITH RECURSIVE {_ANALYSED}, v AS (SELECT *, 1.0::DOUBLE / (60 + rank) AS score, lower(text) AS low FROM ({_EVIDENCE.format(ts='TIMESTAMP')})),
+a2 AS (SELECT question_id, e, unnest(e) AS en, unnest(range(len(e))) AS o FROM f),
+m AS (SELECT v.question_id, v.rank, o FROM v JOIN a2 USING (question_id) WHERE len(e) >= 2 AND (coalesce(upper(source_company) = upper(split_part(en, ':', 2)), false) OR coalesce(en IN (s1, t1, s2, t2), false)
+  OR coalesce(upper(split_part(en, ':', 2)) IN (upper(s1), upper(t1), upper(s2), upper(t2)), false) OR (coalesce(provenance_verified, true) AND contains(low, lower(split_part(en, ':', 2)))))),
+gr(o, taken) AS (SELECT 0, CAST([] AS STRUCT(q BIGINT, r INTEGER)[]) UNION ALL
+  SELECT gr.o + 1, gr.taken || coalesce((SELECT list({{'q': question_id, 'r': rank}}) FROM (SELECT question_id, CAST(rank AS INTEGER) AS rank FROM m WHERE m.o = gr.o AND NOT list_contains(gr.taken, {{'q': m.question_id, 'r': CAST(m.rank AS INTEGER)}}) QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY rank) <= 1) z), [])
+  FROM gr WHERE gr.o < (SELECT max(o) + 1 FROM m)),
+tk AS (SELECT DISTINCT x.q AS question_id, x.r AS rank FROM (SELECT unnest(taken) AS x FROM gr WHERE o = (SELECT max(o) FROM gr)) y),
+nt AS (SELECT question_id, count(*) AS n FROM tk GROUP BY ALL),
+rest AS (SELECT v.question_id, v.rank, row_number() OVER (PARTITION BY v.question_id ORDER BY v.rank) AS i FROM v ANTI JOIN tk USING (question_id, rank)),
+al AS (SELECT question_id, rank FROM tk UNION ALL SELECT rest.question_id, rest.rank FROM rest LEFT JOIN nt USING (question_id) WHERE i <= greatest(0, 2 - coalesce(n, 0)))
+SELECT question_id, evidence_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, v.rank, evidence_id) AS INTEGER) AS rank FROM al JOIN v USING (question_id, rank) QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, v.rank, evidence_id) <= 2""")
+def balanced_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two pieces of every question, one at least of each entity that has any."""
+    scored = _evidence(spark, sf_dir).withColumn("score", 1.0 / (60 + F.col("rank")))
+    return hybrid.balance(scored, analysed(spark, sf_dir), 2, 1).select("question_id", "evidence_id", "rank")
+
+
+_ORDERED = "SELECT 'event:' || event_id AS id, ts AS available_ts FROM events UNION ALL SELECT 'order:' || o_orderkey, o_orderdate FROM orders"
+
+
+@query(f"SELECT id, row_number() OVER (ORDER BY coalesce(strftime(available_ts, '%Y-%m-%d %H:%M:%S.%f'), ''), id) - 1 AS place FROM (SELECT DISTINCT * FROM ({_ORDERED}))")
+def event_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every event in the order of all by the time it became available, unknown times first."""
+    rows = run(spark, sf_dir, _ORDERED).distinct().withColumn("at", F.concat_ws(" ", F.coalesce(F.date_format("available_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("")), "id"))
+    return features.positions(rows, "at", "place").select("id", "place")
+
+
+@query(f"""WITH {_ANALYSED}, v AS ({_VECTORS.format(ts='TIMESTAMP')}), c AS (SELECT question_id, TRY_CAST(reference AS TIMESTAMP) AS ref, unnest(list_filter(e, lambda z: starts_with(z, 'company:'))) AS company FROM f WHERE NOT unreadable)
+SELECT question_id, company, fiscal_period, CAST(row_number() OVER (PARTITION BY question_id, company ORDER BY fiscal_period DESC) AS INTEGER) AS place FROM (
+  SELECT DISTINCT question_id, c.company, fiscal_period FROM c JOIN v ON v.company = c.company AND fiscal_period IS NOT NULL AND document_type IN ('10-Q', '10-K') AND (ref IS NULL OR available_ts <= ref))""")
+def periods_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reported periods of every company a question names, newest first, as known at the question's time."""
+    asked = analysed(spark, sf_dir).where("not coalesce(unreadable, false)")
+    each = asked.select("question_id", "reference", F.explode(F.filter("entities", lambda e: e.startswith("company:"))).alias("company"))
+    return hybrid.periods_as_of(each, vectors(spark, sf_dir), hybrid.PERIODIC)

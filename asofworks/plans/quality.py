@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html
 from ..functions import text as T
-from ..operators import metrics
+from ..operators import answers, metrics, temporal
 from .base import both, query, run
 
 both("dq_orders", "SELECT o_orderstatus, COUNT(*) AS n, CAST(SUM(CASE WHEN o_totalprice <= 0 THEN 1 ELSE 0 END) AS BIGINT) AS bad_price, COUNT(*) - COUNT(o_orderdate) AS no_date, CAST(SUM(CASE WHEN c_custkey IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS orphan FROM orders LEFT JOIN customer ON c_custkey = o_custkey GROUP BY o_orderstatus")
@@ -124,9 +124,54 @@ o AS (SELECT a.conv_id, a.turn, SUM(least(a.n, b.n)) AS o FROM w a JOIN w b ON a
 SELECT a.conv_id, a.turn, ROUND(CAST(2.0 * coalesce(o, 0) / (a.n + b.n) AS DOUBLE), 6) AS f1 FROM s a JOIN s b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 LEFT JOIN o ON o.conv_id = a.conv_id AND o.turn = a.turn""")
 both("refusal_confusion", "SELECT COUNT(*) FILTER (WHERE p AND toxic = 1) AS tp, COUNT(*) FILTER (WHERE p AND toxic = 0) AS fp, COUNT(*) FILTER (WHERE NOT p AND toxic = 1) AS fn, COUNT(*) FILTER (WHERE NOT p AND toxic = 0) AS tn FROM (SELECT toxic, quality = 0 AS p FROM labels) x")
 both("citation_metrics", "WITH c AS (SELECT conv_id, conv_id * 3 + turn AS d FROM conversations WHERE role = 'assistant') SELECT conv_id, COUNT(*) AS total, COUNT(l.doc_id) AS valid, ROUND(CASE WHEN COUNT(*) = 0 THEN 1.0 ELSE COUNT(CASE WHEN quality = 1 THEN 1 END) / CAST(COUNT(*) AS DOUBLE) END, 6) AS precision_ FROM c LEFT JOIN labels l ON l.doc_id = d GROUP BY conv_id")
-both("failure_modes", "SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'none' WHEN toxic = 1 AND quality = 1 THEN 'unsafe' WHEN toxic = 1 THEN 'unsafe_low' ELSE 'low_quality' END AS mode FROM labels")
+_OUTCOMES = """SELECT doc_id, quality = 1 OR doc_id % 3 = 0 AS answerable, toxic = 1 OR doc_id % 5 = 0 AS refused, (doc_id % 7) / CAST(10 AS DOUBLE) AS f1, CAST(CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS exact,
+  doc_id % 4 <> 0 AS retrieved, doc_id % 6 <> 1 AS in_context, doc_id % 8 <> 4 AS linked, CAST(1 + doc_id % 3 AS INT) AS hops, CAST(doc_id % 2 AS DOUBLE) AS path_accuracy, CASE doc_id % 9 WHEN 5 THEN 'hops' WHEN 6 THEN 'entity' ELSE 'sufficient' END AS reason FROM labels"""
+
+
+@query(f"""SELECT doc_id, CASE WHEN NOT answerable AND refused THEN 'CORRECT_REFUSAL' WHEN NOT answerable THEN 'UNGROUNDED_HALLUCINATION' WHEN NOT refused AND (f1 >= 0.2 OR exact > 0) THEN 'NONE_SUCCESS' WHEN NOT retrieved AND NOT linked THEN 'ENTITY_LINKING_FAILURE'
+  WHEN NOT retrieved THEN 'EVIDENCE_NOT_RETRIEVED' WHEN NOT in_context THEN 'EVIDENCE_RANKED_TOO_LOW' WHEN hops > 1 AND path_accuracy = 0 AND reason = 'hops' THEN 'GRAPH_PATH_FAILURE' WHEN reason <> 'sufficient' THEN 'SUFFICIENCY_GATE_FALSE_REFUSAL' ELSE 'GENERATOR_FAILURE' END AS mode FROM ({_OUTCOMES})""")
+def failure_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The principal failure of every labelled row's outcome (made by rule)."""
+    names = ("answerable", "refused", "f1", "exact", "retrieved", "in_context", "linked", "hops", "path_accuracy", "reason")
+    return run(spark, sf_dir, _OUTCOMES).select("doc_id", answers.failure_mode(*map(F.col, names), F.col("reason") == "sufficient").alias("mode"))
+
+
 both("feir_by_stage", "SELECT event_type AS stage, ROUND(COUNT(*) FILTER (WHERE ts > TIMESTAMP '2024-01-20 00:00:00') / CAST(COUNT(*) AS DOUBLE), 6) AS feir FROM events GROUP BY event_type")
 both("feir_ablation", "SELECT ROUND(COUNT(*) FILTER (WHERE ts > TIMESTAMP '2024-01-20 00:00:00') / CAST(COUNT(*) AS DOUBLE), 6) AS without_filter, ROUND(COUNT(*) FILTER (WHERE ts <= TIMESTAMP '2024-01-20 00:00:00' AND ts > TIMESTAMP '2024-01-20 00:00:00') / CAST(COUNT(*) FILTER (WHERE ts <= TIMESTAMP '2024-01-20 00:00:00') AS DOUBLE), 6) AS with_filter, COUNT(*) FILTER (WHERE ts > TIMESTAMP '2024-01-20 00:00:00') AS rejected FROM events")
+# Questions by user and items by event, the stages by rule; both engines read these.
+_REFS = "SELECT user_id AS question_id, CASE WHEN user_id % 4 <> 0 THEN CAST('2024-01-' || (10 + user_id % 20) || ' 00:00:00' AS {ts}) END AS reference FROM (SELECT DISTINCT user_id FROM events) u"
+_ITEMS = "SELECT user_id AS question_id, CASE event_id % 6 WHEN 0 THEN 'post_filter' WHEN 1 THEN 'context' WHEN 2 THEN 'cited' ELSE 'pre_filter' END AS stage, ts AS available_ts FROM events WHERE event_id % 6 NOT IN (0, 1, 2) OR ts <= CAST('2024-01-' || (10 + user_id % 20 + CASE WHEN user_id % 9 = 0 THEN 1 ELSE 0 END) || ' 00:00:00' AS {ts})"
+_STAGED = f"""r AS ({_REFS.format(ts='TIMESTAMP')}), i AS ({_ITEMS.format(ts='TIMESTAMP')}),
+c AS (SELECT r.question_id, reference, {', '.join(f"count(*) FILTER (WHERE stage = '{s}') AS n_{s}, count(*) FILTER (WHERE stage = '{s}' AND available_ts > reference) AS l_{s}" for s in ('pre_filter', 'post_filter', 'context', 'cited'))} FROM r LEFT JOIN i USING (question_id) GROUP BY r.question_id, reference),
+t AS (SELECT question_id, reference, {', '.join(f"CASE WHEN reference IS NOT NULL THEN l_{s}::DOUBLE / nullif(n_{s}, 0) END AS feir_{s}, n_{s}" for s in ('pre_filter', 'post_filter', 'context', 'cited'))}, l_pre_filter AS rejections,
+  reference IS NULL OR (n_post_filter + n_context + n_cited > 0 AND l_post_filter + l_context + l_cited = 0) AS valid FROM c)"""
+
+
+def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temporal.question_rows(run(spark, sf_dir, _REFS.format(ts="TIMESTAMP_NTZ")), run(spark, sf_dir, _ITEMS.format(ts="TIMESTAMP_NTZ")))
+
+
+@query(f"WITH {_STAGED} SELECT question_id, ROUND(feir_pre_filter, 6) AS before, ROUND(feir_post_filter, 6) AS after, ROUND(feir_context, 6) AS context, ROUND(feir_cited, 6) AS cited, rejections, valid FROM t")
+def temporal_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of the future is in each stage of every question, what was rejected, and whether it holds its time."""
+    r = lambda c, n: F.round(f"feir_{c}", 6).alias(n)
+    return _staged(spark, sf_dir).select("question_id", r("pre_filter", "before"), r("post_filter", "after"), r("context", "context"), r("cited", "cited"), "rejections", "valid")
+
+
+@query(f"""WITH {_STAGED} SELECT (SELECT count(*) FROM t) AS n_questions, count(*) AS n_temporal, {', '.join(f"ROUND(avg(feir_{s}), 6) AS feir_{s}, CAST(sum(n_{s}) AS BIGINT) AS n_{s}" for s in ('pre_filter', 'post_filter', 'context', 'cited'))},
+  CAST(sum(rejections) AS BIGINT) AS rejections, ROUND(avg(CASE WHEN valid THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS compliance FROM t WHERE reference IS NOT NULL""")
+def temporal_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suite in one row."""
+    return temporal.suite(_staged(spark, sf_dir))
+
+
+@query(f"""WITH {_STAGED}, m AS (SELECT avg(feir_post_filter) AS a, avg(feir_pre_filter) AS b, CAST(sum(rejections) AS BIGINT) AS rejections FROM t WHERE reference IS NOT NULL)
+SELECT ROUND(a, 6) AS with_filter, ROUND(b, 6) AS without_filter, ROUND(b - a, 6) AS absolute, ROUND(CASE WHEN b > 0 THEN 100 * (b - a) / b ELSE 0 END, 4) AS relative_pct, rejections FROM m""")
+def temporal_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the time filter takes away."""
+    return temporal.ablation(_staged(spark, sf_dir))
+
+
 both("compliance_rate", "SELECT user_id, ROUND(COUNT(*) FILTER (WHERE ts <= TIMESTAMP '2024-01-20 00:00:00') / CAST(nullif(COUNT(ts), 0) AS DOUBLE), 6) AS compliance FROM events GROUP BY user_id")
 both("plr_summary", "SELECT quality, COUNT(*) AS n, CAST(SUM(toxic) AS BIGINT) AS leaked, ROUND(SUM(toxic) / CAST(COUNT(*) AS DOUBLE), 6) AS plr FROM labels GROUP BY quality")
 

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from asofworks.functions import html, ids, time
-from asofworks.operators import analysis, evaluation, gate, hybrid, pathmatch, provenance, retrieval, traversal
+from asofworks.operators import analysis, build, evaluation, features, gate, hybrid, models, pathmatch, provenance, retrieval, temporal, traversal
 from asofworks.sources import sinks
 
 T0 = datetime(2024, 1, 1)
@@ -409,3 +409,81 @@ def test_settled_tables_follow_their_files(spark, tmp_path):
     spark.range(5).write.mode("overwrite").parquet(str(tmp_path / "a.parquet"))
     assert get().count() == 5 and len(made) == 2 and not sinks.exists(spark, folder)
     assert sinks.release(spark) > 0 and get().count() == 5 and len(made) == 3
+
+
+def test_balance_shares_out(spark):
+    """Against the greedy choice, piece by piece."""
+    r = random.Random(6)
+    asked, rows, want = [], [], {}
+    for q in range(40):
+        entities = r.sample(["company:A", "company:B", "company:C", "regulator:FTC"], r.randrange(0, 4))
+        asked.append((q, "q", entities, [], None, 1, False, False))
+        pool = []
+        for i in range(1, 12):
+            edges = [(f"company:{r.choice('ABX')}", "R", f"company:{r.choice('CY')}")] if r.random() < 0.4 else []
+            pool.append((q, i, f"e{i:02}", round(r.choice([0.1, 0.2, 0.3]), 2), r.choice(["ftc said", "of c", "nothing", "A B"]), r.choice([None, "A", "b", "z"]), r.choice([True, None, False]), edges))
+        rows += pool
+
+        def speaks(p, e):
+            bare = e.split(":")[1]
+            ends = [x for s, _, t in p[7] for x in (s, t)]
+            return (p[5] or "").upper() == bare.upper() or e in ends or bare.upper() in [x.upper() for x in ends] or (p[6] is not False and bare.lower() in p[4].lower())
+
+        taken = []
+        for e in entities if len(entities) > 1 else []:
+            taken += [p for p in pool if p not in taken and speaks(p, e)][:2]
+        taken += [p for p in pool if p not in taken][: max(0, 5 - len(taken))]
+        want[q] = [p[2] for p in sorted(taken, key=lambda p: (-p[3], p[1], p[2]))][:5]
+    ev = spark.createDataFrame(rows, "question_id int, rank int, evidence_id string, score double, text string, source_company string, provenance_verified boolean, graph_edges array<struct<source:string,relationship:string,target:string>>")
+    got = {}
+    for x in hybrid.balance(ev, spark.createDataFrame(asked, ASKED), 5, 2).orderBy("question_id", "rank").collect():
+        got.setdefault(x.question_id, []).append(x.evidence_id)
+    assert got == want
+
+
+def test_rates_of_the_future(spark):
+    day = lambda d: T0 + timedelta(days=d)
+    q = spark.createDataFrame([(1, day(5)), (2, day(5)), (3, None), (4, day(5))], "question_id int, reference timestamp_ntz")
+    items = [(1, "pre_filter", day(9)), (1, "pre_filter", day(1)), (1, "post_filter", day(1)), (2, "pre_filter", None), (2, "context", day(8)), (2, "cited", day(1)), (3, "cited", day(99))]
+    rows = temporal.question_rows(q, spark.createDataFrame(items, "question_id int, stage string, available_ts timestamp_ntz"))
+    got = {r.question_id: r for r in rows.collect()}
+    assert (got[1].feir_pre_filter, got[1].feir_post_filter, got[1].feir_cited, got[1].rejections, got[1].valid) == (0.5, 0.0, None, 1, True)
+    assert (got[2].feir_pre_filter, got[2].feir_context, got[2].valid) == (0.0, 1.0, False) and got[3].valid and got[3].feir_cited is None
+    assert not got[4].valid  # nothing was looked at, so nothing is shown
+    s = temporal.suite(rows).first()
+    assert (s.n_questions, s.n_temporal, s.feir_pre_filter, s.n_cited, s.rejections, s.compliance) == (4, 3, 0.25, 1, 1, round(1 / 3, 6))
+    none = temporal.suite(rows.where("question_id = 3")).first()
+    assert none.n_temporal == 0 and none.compliance == 0.0 and none.feir_cited is None
+    a = temporal.ablation(rows).first()
+    assert (a.without_filter, a.with_filter, a.relative_pct) == (0.25, 0.0, 100.0)
+
+
+def test_walk_forward_fits_every_fold(spark):
+    """Weights of all folds against a fit of each fold alone; a scaler never sees the rows it is tested on."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(260, 2)) * [1.0, 50.0] + [0.0, 7.0]
+    y = (x[:, 0] + 0.02 * x[:, 1] + rng.normal(size=260) > 0).astype(int)
+    rows = spark.createDataFrame([(f"{i:04}", float(a), float(b) if i % 50 else None, int(k)) for i, ((a, b), k) in enumerate(zip(x, y, strict=True))], "d string, a double, b double, label int")
+    folded = features.walk_forward(rows, "d", 100, 40)
+    fitted = {r.fold: r for r in models.fit_folds(folded, ["a", "b"], "label").collect()}
+    assert sorted(fitted) == [0, 1, 2, 3]
+    for f, r in fitted.items():
+        use = [i for i in range(100 + 40 * f) if i % 50]
+        m, s = x[use].mean(0), x[use].std(0)
+        z, w = np.column_stack([np.ones(len(use)), (x[use] - m) / s]), np.zeros(3)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-z @ w))
+            w += np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + np.diag([0, 1, 1]), z.T @ (y[use] - p) - np.array([0, 1, 1]) * w)
+        assert np.allclose(r.weights, w, atol=1e-6) and np.allclose(r.means, m) and np.allclose(r.sizes, s) and r.n_train == len(use)
+    folds, summary = models.compare(folded, "label", {"both": ["a", "b"], "noise": ["b"]})
+    table = {(r.model, r.fold): r for r in folds.collect()}
+    assert len(table) == 12 and all(0 <= r.accuracy <= 1 for r in table.values())
+    best = {r.model: r for r in summary.collect()}
+    assert best["both"].mean_accuracy > best["prior"].mean_accuracy and best["prior"].mean_difference == 0 and best["both"].auc > best["noise"].auc and best["prior"].p == 1.0
+
+
+def test_node_types_fail_where_unknown(spark):
+    df = spark.createDataFrame([(" company ",), ("RISK",)], "t string")
+    assert [r.t for r in df.select(build.node_type_or_fail(F.col("t")).alias("t")).collect()] == ["Company", "Risk"]
+    with pytest.raises(Exception, match="Unknown node type"):
+        spark.createDataFrame([("planet",)], "t string").select(build.node_type_or_fail(F.col("t"))).collect()
