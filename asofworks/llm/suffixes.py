@@ -69,31 +69,46 @@ def _lowest(values: np.ndarray, span: int, pick=np.minimum) -> np.ndarray:
     return pick(out[: len(out) - (span - size)], out[span - size :]) if span > size else out
 
 
-def stretches(raw: bytes, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Parts of (start, end, name, whole, several): the positions from start to end have ``name`` as smallest half-length name of their window.
+def _joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column one behind the other, and where each row begins (and the last ends)."""
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    held = texts.buffers()[2]
+    data = np.frombuffer(held, np.uint8)[at[0] : at[-1]] if held is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
+    return data, at - at[0]
 
-    ``whole`` names all bytes that their strings cover, by the names of the three half-lengths that lie over them; ``several``: the
-    smallest is at more than one place.
+
+def stretches(data: np.ndarray, begins: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Parts of (row, start, end, name, whole, several) over texts that lie one behind the other, ``begins`` as :func:`_joined` gives it.
+
+    The positions of a row from start to end have ``name`` as smallest half-length name of their window, and no string from them
+    leaves the row. ``whole`` names all bytes that the strings cover, by the names of the three half-lengths that lie over
+    them; ``several``: the smallest is at more than one place.
     """
     half = width // 2
     span, longest = width - half + 1, 3 * half - width + 1  # positions of a window; of a stretch that three half-lengths cover
-    data = np.frombuffer(raw, np.uint8)
-    for at in range(0, len(raw) - width + 1, CHUNK):
+    for at in range(0, len(data) - width + 1, CHUNK):
         named = names(data[at : at + CHUNK + width - 1], half)
         low = _lowest(named, span)
-        start = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
-        end = np.append(start[1:], len(low))
-        several = np.zeros(len(start), bool)
-        padded = np.concatenate((np.zeros(span - 1, np.uint64), low, np.zeros(span - 1, np.uint64)))
-        if np.count_nonzero(_lowest(padded, span, np.maximum) == named) != len(start):  # as many places as stretches: one each
-            several = np.array([np.count_nonzero(named[a : b + span - 1] == low[a]) > 1 for a, b in zip(start.tolist(), end.tolist(), strict=True)], bool)
+        first = np.concatenate(([True], low[1:] != low[:-1]))
+        edge = np.zeros(span - 1, np.uint64)
+        places = named[_lowest(np.concatenate((edge, low, edge)), span, np.maximum) == named]  # the smallest of some window, in their order
+        runs = np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1])))  # as many as stretches: one after the other has another name
+        more = np.diff(np.append(runs, len(places))) > 1
+        numbers = np.cumsum(first) - 1
+        first[(begins[np.searchsorted(begins, at) : np.searchsorted(begins, at + len(low))] - at)] = True
+        start = np.flatnonzero(first)
+        end, several = np.append(start[1:], len(low)), more[numbers[start]]
+        row = np.searchsorted(begins, at + start, "right") - 1
+        end = np.minimum(end, begins[row + 1] - width + 1 - at)
+        kept = end > start
+        start, end, several, row = start[kept], end[kept], several[kept], row[kept]
         if (end - start > longest).any():
             cuts = -(-(end - start) // longest)
             step = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-            start, end, several = np.repeat(start, cuts) + step * longest, np.repeat(end, cuts), np.repeat(several, cuts)
+            start, end, several, row = np.repeat(start, cuts) + step * longest, np.repeat(end, cuts), np.repeat(several, cuts), np.repeat(row, cuts)
             end = np.minimum(end, start + longest)
         whole = _pair(_pair(named[start], named[start + half]), _pair(named[end - 1 + width - half], (end - start).astype(np.uint64)))
-        yield at + start, at + end, low[start], whole, several
+        yield row, at + start - begins[row], at + end - begins[row], low[start], whole, several
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -139,9 +154,9 @@ def _sampled(keyed: DataFrame, width: int) -> DataFrame:
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         for batch in batches:
-            for doc_id, tag, raw in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "tag", "raw")), strict=True):
-                for start, end, name, whole, several in stretches(raw, width):
-                    yield [name.view(np.int64), whole.view(np.int64), np.full(len(start), doc_id, np.int64), (tag << 32) + start, (end - start).astype(np.int32), several]
+            doc_id, tag = (column(batch, c).to_numpy() for c in ("doc_id", "tag"))
+            for row, start, end, name, whole, several in stretches(*_joined(column(batch, "raw")), width):
+                yield [name.view(np.int64), whole.view(np.int64), doc_id[row], (tag[row] << 32) + start, (end - start).astype(np.int32), several]
 
     return keyed.mapInArrow(lambda batches: _batched(parts(batches), ["name", "digest", "doc_id", "at", "n", "several"]), "name long, digest long, doc_id long, at long, n int, several boolean")
 
@@ -209,12 +224,12 @@ def _places(batch: pa.RecordBatch, name: str, row: int) -> tuple[np.ndarray, np.
     return start[order], n[order]
 
 
-def _merged(start: np.ndarray, end: np.ndarray, gap: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted ranges joined where they touch, overlap or leave ``gap`` between them."""
+def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted ranges joined where they touch or overlap."""
     if not len(start):
         return start, end
     reach = np.maximum.accumulate(end)
-    cut = np.flatnonzero(start[1:] > reach[:-1] + gap)
+    cut = np.flatnonzero(start[1:] > reach[:-1])
     return start[np.concatenate(([0], cut + 1))], reach[np.concatenate((cut, [len(end) - 1]))]
 
 
@@ -225,21 +240,23 @@ def _name_pairs(keyed: DataFrame, opened: DataFrame, width: int) -> DataFrame:
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                doc_id, tag = (column(batch, c)[row].as_py() for c in ("doc_id", "tag"))
-                raw = np.frombuffer(column(batch, "raw")[row].as_buffer(), np.uint8)
-                start, n = _places(batch, "open", row)
-                wanted, ends = _merged(start, start + n)
-                low, high = _merged(wanted, ends, 1024)  # neighbours are named together
-                for a, b in zip(low.tolist(), high.tolist(), strict=True):
-                    for at in range(a, b, CHUNK):
-                        to = min(b, at + CHUNK)
-                        named = names(raw[at : to + width - 1], width - half)
-                        i, j = np.searchsorted(ends, at, "right"), np.searchsorted(wanted, to)
-                        if i == j:
-                            continue
-                        own = np.concatenate([np.arange(max(x, at), min(y, to)) for x, y in zip(wanted[i:j].tolist(), ends[i:j].tolist(), strict=True)])
-                        yield [named[own - at].view(np.int64), named[own - at + half].view(np.int64), np.full(len(own), doc_id, np.int64), (tag << 32) + own]
+            doc_id, tag = (column(batch, c).to_numpy() for c in ("doc_id", "tag"))
+            data, begins = _joined(column(batch, "raw"))
+            lists = column(batch, "open")
+            sizes, places = np.diff(lists.offsets.to_numpy()), lists.flatten()
+            start = places.field("s").to_numpy() + np.repeat(begins[:-1], sizes)
+            order = np.argsort(start, kind="stable")
+            wanted, ends = _merged(start[order], (start + places.field("n").to_numpy())[order])
+            for at in range(0, len(data) - width + 1, CHUNK):
+                to = min(at + CHUNK, len(data) - width + 1)
+                i, j = np.searchsorted(ends, at, "right"), np.searchsorted(wanted, to)
+                if i == j:
+                    continue
+                low, n = np.maximum(wanted[i:j], at), np.minimum(ends[i:j], to) - np.maximum(wanted[i:j], at)
+                own = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                named = names(data[at : to + width - 1], width - half)
+                row = np.searchsorted(begins, own, "right") - 1
+                yield [named[own - at].view(np.int64), named[own - at + half].view(np.int64), doc_id[row], (tag[row] << 32) + own - begins[row]]
 
     held = _by_text(opened, "open").join(keyed, ["doc_id", "tag"]).select("doc_id", "tag", "raw", "open")
     return held.mapInArrow(lambda batches: _batched(parts(batches), ["a", "b", "doc_id", "at"]), "a long, b long, doc_id long, at long")
