@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import ids
 from ..functions import text as T
 
 # The vocabularies of the graph.
@@ -105,8 +106,8 @@ def edges(extracted: DataFrame, found: DataFrame, ordered: bool = True) -> DataF
             hit = F.coalesce("near", F.when(F.lit(not ordered) | (F.col("since") <= F.col("seq")), F.col("far")))
             rows = rows.withColumn(f"{end}_node", F.coalesce(F.col(f"{end}_node"), hit) if f"{end}_node" in rows.columns else hit).drop("near", "far", "since")
     sound = rows.where("s_node is not null and t_node is not null and s_node <> t_node")
-    ids = T.edge_id(F.col("s_node"), F.col("relationship"), F.col("t_node"), F.col("document_id"), F.col("chunk_id"), F.col("event_time"), F.col("available_time"))
-    named = sound.withColumn("edge_id", ids)
+    properties = ids.json_object({"document_id": ids.json_string(F.col("document_id")), "chunk_id": ids.json_string(F.col("chunk_id"))})  # one triple from two chunks is two edges
+    named = sound.withColumn("edge_id", ids.edge_id(F.col("s_node"), F.col("relationship"), F.col("t_node"), F.col("event_time"), F.col("available_time"), properties))
     one = first_per_key(named, ["edge_id"], ["seq", "pos"])
     return one.select("edge_id", F.col("s_node").alias("source"), F.col("t_node").alias("target"), "relationship", F.coalesce("confidence", F.lit(1.0)).alias("confidence"), "event_time", "available_time", "document_id", "chunk_id")
 
@@ -130,8 +131,7 @@ def event_graph(events: DataFrame, companies: DataFrame) -> tuple[DataFrame, Dat
     ``events(event_type, ticker, key, event_time, available_time)``, ``companies(ticker, company)``. All companies are nodes;
     an event of no known company stays without edge; repeated events are one.
     """
-    ids = T.event_id(F.col("event_type"), F.col("ticker"), F.col("key"), F.col("event_time"))
-    named = events.withColumn("node_id", ids)
+    named = events.withColumn("node_id", T.event_id(F.col("event_type"), F.col("ticker"), F.col("key"), F.col("event_time")))
     one = first_per_key(named, ["node_id"], ["available_time", "event_time"])
     firms = companies.select(F.concat(F.lit("company:"), F.col("ticker")).alias("node_id"), F.lit("Company").alias("node_type"), F.col("company").alias("name"), F.lit(None).cast("string").alias("available_time"))
     happened = one.select("node_id", F.lit("Event").alias("node_type"), F.col("event_type").alias("name"), "available_time")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.time import parse_ts
+from ..sources.sinks import settle
 
 # Keys and categories of a benchmark item.
 ITEM_KEYS = (
@@ -87,26 +88,47 @@ def item_errors(raw: str = "raw") -> Column:
     )
 
 
+def _grams(text: Column) -> Column:
+    """The distinct runs of one to three characters of a text, found in one pass each."""
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in (1, 2, 3)]))
+
+
 def verify_candidates(items: DataFrame, chunks: DataFrame, nodes: DataFrame, most: int = 5) -> DataFrame:
     """``(item_id, n_chunks, chunk_ids, verified)``: whether all entities of ``items(item_id, entities, required)`` are nodes and some chunk holds all required terms (letter case aside); at most ``most`` chunk ids are listed.
 
-    Terms are looked for as parts of the text, so every chunk meets every item: the items, a stated question set, are
-    sent to the chunks.
+    Terms are looked for as parts of the text, through an index of runs of three characters: an item meets only the chunks that hold the
+    rarest run of its terms (a shorter term is a run itself), and these are read whole. An item without terms is held by every chunk, one whose
+    terms are null by none.
     """
     need = items.select("item_id", F.explode_outer("entities").alias("node_id")).join(nodes.select("node_id", F.lit(True).alias("there")), "node_id", "left")
     linked = need.groupBy("item_id").agg(F.min(F.coalesce("there", F.col("node_id").isNull())).alias("linked"))
-    low = items.select("item_id", F.transform("required", F.lower).alias("required"))
-    texts = chunks.select("chunk_id", F.lower("text").alias("low_"))
-    held = texts.join(low, F.forall("required", lambda t: F.col("low_").contains(t)))
-    found = held.groupBy("item_id").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("chunk_id")), 1, most).alias("chunk_ids"))
+    low = items.select("item_id", F.filter(F.transform("required", F.lower), lambda t: t != "").alias("required")).where("required is not null")
+    texts = chunks.select("chunk_id", F.lower("text").alias("low_")).where("low_ is not null")
+    own = low.select("item_id", F.explode("required").alias("t")).select("item_id", F.explode(_grams(F.col("t"))).alias("gram"), F.least(F.length("t"), F.lit(3)).alias("n"))
+    own = own.where(F.length("gram") == F.col("n")).select("item_id", "gram").distinct()
+    hits = settle(texts.select("chunk_id", F.explode(_grams(F.col("low_"))).alias("gram")).join(own.select("gram").distinct(), "gram", "left_semi"), "grams")
+    often = own.join(hits.groupBy("gram").agg(F.count("*").alias("df")), "gram", "left").na.fill(0, ["df"])
+    key = often.groupBy("item_id").agg(F.min(F.struct("df", "gram")).alias("k")).select("item_id", F.col("k.gram").alias("gram"))
+    met = key.join(hits, "gram").select("item_id", "chunk_id").join(texts, "chunk_id").join(low, "item_id")
+    held = met.where(F.forall("required", lambda t: F.col("low_").contains(t))).select("item_id", "chunk_id")
+    every = low.where(F.size("required") == 0).select("item_id")
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy("chunk_id"))
+    first = held.withColumn("i_", place).groupBy("item_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("i_") <= most, F.col("chunk_id")))).alias("chunk_ids"))
+    smallest = texts.orderBy("chunk_id").limit(most).agg(F.array_sort(F.collect_list("chunk_id")).alias("chunk_ids"))
+    whole = every.join(F.broadcast(texts.agg(F.count("*").alias("n")).join(smallest)))
+    found = first.unionByName(whole.where("n > 0"))
     out = items.select("item_id").join(linked, "item_id", "left").join(found, "item_id", "left")
     n = F.coalesce("n", F.lit(0))
     return out.select("item_id", n.alias("n_chunks"), F.coalesce("chunk_ids", F.expr("cast(array() as array<string>)")).alias("chunk_ids"), (F.coalesce("linked", F.lit(True)) & (n > 0)).alias("verified"))
 
 
+# Characters behind a heading that are taken for its statement.
+STATEMENT_REACH = 9000
+
+
 def statement_facts(text: Column, heading: str, label: str) -> Column:
     """``struct(years, values)`` of the first row ``label`` of an income statement behind ``heading``: the last run of years before it, and its numbers (in brackets: negative)."""
-    behind = F.regexp_extract(text, rf"(?s){heading}(.{{0,9000}})", 1)
+    behind = F.regexp_extract(text, rf"(?s){heading}(.{{0,{STATEMENT_REACH}}})", 1)
     row = F.regexp_extract(behind, rf"(?<![A-Za-z]){label}\s*((?:\$?\s*\(?[0-9][0-9,]*(?:\.[0-9]+)?\)?\s*){{2,8}})", 1)
     before = F.regexp_extract(behind, rf"(?s)^(.*?)(?<![A-Za-z]){label}", 1)
     runs = F.regexp_extract_all(before, F.lit(r"(?:\b20\d\d\b[^0-9A-Za-z]{0,40}){2,}"), F.lit(0))

@@ -256,7 +256,7 @@ SELECT question_id, evidence_id, source_type, ROUND(s, 6) AS score, CAST(row_num
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysed(spark, sf_dir).where("question_id % 20 = 0")
+    return analysis.analyse(questions(spark, sf_dir).where("question_id % 20 = 0"), terms(spark, sf_dir))
 
 
 def _kept(df: DataFrame) -> DataFrame:

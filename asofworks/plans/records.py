@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import records, time
+from ..functions import ids, records, time
 from ..functions import text as T
 from ..operators import build, evaluation, validation
 from .base import query, run, table
@@ -61,15 +61,15 @@ def registrant_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT o_orderkey, 'https://www.sec.gov/Archives/edgar/data/' || o_custkey || '/' || replace(acc, '-', '') || '/doc-' || o_orderkey || '.htm' AS url, extract(year FROM o_orderdate) || '-Q' || extract(quarter FROM o_orderdate) AS quarter_,
-  regexp_matches(substr(sha256(acc), 1, 16), '^[0-9a-f]{16}$') AS hex, substr(sha256(acc), 1, 8) || '-' || substr(sha256(acc), 9, 4) || '-' || substr(sha256(acc), 13, 4) || '-' || substr(sha256(acc), 17, 4) || '-' || substr(sha256(acc), 21, 12) AS point
-FROM (SELECT *, lpad(o_custkey::VARCHAR, 10, '0') || '-26-' || lpad((o_orderkey % 1000000)::VARCHAR, 6, '0') AS acc FROM orders)""")
+  regexp_matches(substr(sha256(acc), 1, 16), '^[0-9a-f]{16}$') AS hex, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', strpos('0123456789abcdef', substr(h, 17, 1)), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point
+FROM (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(acc)) AS h FROM (SELECT *, lpad(o_custkey::VARCHAR, 10, '0') || '-26-' || lpad((o_orderkey % 1000000)::VARCHAR, 6, '0') AS acc FROM orders))""")
 def filing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filing addresses, quarter labels, point identifiers."""
     o = table(spark, sf_dir, "orders")
     cik = F.lpad(F.col("o_custkey").cast("string"), 10, "0")
     acc = F.concat(cik, F.lit("-26-"), F.lpad((F.col("o_orderkey") % 1000000).cast("string"), 6, "0"))
     doc = F.concat(F.lit("doc-"), F.col("o_orderkey").cast("string"), F.lit(".htm"))
-    return o.select("o_orderkey", T.filing_url(cik, acc, doc).alias("url"), time.quarter_label(F.col("o_orderdate")).alias("quarter_"), T.is_hex_id(F.substring(F.sha2(acc.cast("binary"), 256), 1, 16)).alias("hex"), T.point_id(acc).alias("point"))
+    return o.select("o_orderkey", T.filing_url(cik, acc, doc).alias("url"), time.quarter_label(F.col("o_orderdate")).alias("quarter_"), T.is_hex_id(F.substring(F.sha2(acc.cast("binary"), 256), 1, 16)).alias("hex"), ids.uuid5(acc).alias("point"))
 
 
 @query("""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'partial' WHEN 1 THEN CASE WHEN d = 0 THEN 'none' ELSE 'partial' END WHEN 2 THEN 'none' ELSE 'full' END AS coverage FROM (SELECT conv_id, turn, conv_id % 2 AS d FROM conversations)""")

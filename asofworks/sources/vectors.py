@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import point_id
+from ..functions.ids import uuid5
 from .sinks import append_batch, exists, one_per_key, remove
 
 POINT = "point_id string, chunk_id string, document_id string, text string, available_time string, embedding array<float>"
@@ -46,9 +46,9 @@ def encode(chunks: DataFrame, encoder: Callable[[list[str]], list[list[float]]])
 
 
 def upsert(chunks: DataFrame, path: str, batch_id: int) -> None:
-    """Points of ``chunks(chunk_id, document_id, text, available_time, embedding)`` under ids made from chunk_id: the same batch again replaces itself, a later one replaces the points it names."""
+    """Points of ``chunks(chunk_id, document_id, text, available_time, embedding)`` under the name-based UUIDs of their chunk_id: the same batch again replaces itself, a later one replaces the points it names."""
     rows = one_per_key(chunks.select("chunk_id", "document_id", "text", "available_time", F.col("embedding").cast("array<float>").alias("embedding")), "chunk_id")
-    append_batch(rows.select(point_id(F.col("chunk_id")).alias("point_id"), *rows.columns), path, batch_id)
+    append_batch(rows.select(uuid5(F.col("chunk_id")).alias("point_id"), *rows.columns), path, batch_id)
 
 
 def scroll(rows: DataFrame, fields: list[str], after: str | None = None, limit: int = 512, keep: Column | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from asofworks.functions import html, ids, time
-from asofworks.operators import analysis, build, evaluation, features, gate, hybrid, models, pathmatch, provenance, retrieval, temporal, traversal
+from asofworks.operators import analysis, build, evaluation, features, gate, hybrid, models, pathmatch, provenance, retrieval, temporal, traversal, validation
 from asofworks.sources import sinks
 
 T0 = datetime(2024, 1, 1)
@@ -487,3 +487,17 @@ def test_node_types_fail_where_unknown(spark):
     assert [r.t for r in df.select(build.node_type_or_fail(F.col("t")).alias("t")).collect()] == ["Company", "Risk"]
     with pytest.raises(Exception, match="Unknown node type"):
         spark.createDataFrame([("planet",)], "t string").select(build.node_type_or_fail(F.col("t"))).collect()
+
+
+def test_candidates_meet_few_chunks(spark):
+    r = random.Random(9)
+    text = lambda n: "".join(r.choice("abcdE é日") for _ in range(n))
+    chunks = [(f"c{i:02}", text(r.randrange(0, 60))) for i in range(50)] + [("n", None), ("long", "xyz" * 40_000 + "needle")]
+    items = [(i, r.sample(["a", "b", "z"], r.randrange(0, 3)), [text(r.randrange(0, 4)) for _ in range(r.randrange(0, 3))]) for i in range(40)] + [(90, None, None), (91, ["a"], ["NEEDLE"]), (92, ["a"], ["absent"])]
+    got = validation.verify_candidates(
+        spark.createDataFrame(items, "item_id int, entities array<string>, required array<string>"), spark.createDataFrame(chunks, "chunk_id string, text string"), spark.createDataFrame([("a",), ("b",)], "node_id string"), 3
+    )
+    rows = {x.item_id: x for x in got.collect()}
+    for i, entities, required in items:
+        hit = [] if required is None else sorted(c for c, t in chunks if t is not None and all(q.lower() in t.lower() for q in required))
+        assert (rows[i].n_chunks, rows[i].chunk_ids, rows[i].verified) == (len(hit), hit[:3], bool(hit) and all(e in "ab" for e in entities or [])), (i, required)
