@@ -24,7 +24,7 @@ _SAYS = "contains(low, '{}' || st || '{}')"
 
 
 @query(f"""WITH e AS ({_CLAIMS}), c AS ({_CHUNKS}), i AS ({_ISSUERS}),
-x AS (SELECT e.*, coalesce(e.source_company, i.issuer) AS iss, coalesce(lower(c.text), '') AS low, 'co' || substr(src, 10) || 'x' AS st, 'co' || substr(dst, 10) || 'x' AS dt FROM e LEFT JOIN i USING (document_id) LEFT JOIN c USING (chunk_id)),
+x AS (SELECT e.*, coalesce(e.source_company, i.issuer) AS iss, coalesce(lower(c.text), '') AS low, 'co' || substr(src, 10) || 'x' AS st, CASE WHEN s_suppkey IS NOT NULL THEN 'co' || s_suppkey || 'x' ELSE lower(substr(dst, 9)) END AS dt FROM e LEFT JOIN i USING (document_id) LEFT JOIN c USING (chunk_id) LEFT JOIN supplier ON dst = 'company:S' || s_suppkey),
 y AS (SELECT *, substr(src, 9) <> iss AS cross_src, starts_with(dst, 'company:') AND substr(dst, 9) <> iss AS cross_dst,
   {' OR '.join(_SAYS.format(a, b) for a, b in (('', ' risk'), ('risk to ', ''), ('risk for ', ''), ('', "''s risk"), ('', ' face'), ('', ' subject to'), ('disruptions at ', ''), ('delays from ', '')))} AS discussed FROM x),
 z AS (SELECT *, CASE WHEN provenance_verified IS NOT NULL THEN coalesce(attribution_status, 'explicit') WHEN document_id IS NULL THEN 'missing_provenance' WHEN NOT starts_with(document_id, 'doc:sec:') THEN 'verified_mock_fixture' WHEN iss IS NULL THEN 'unknown_issuer'
