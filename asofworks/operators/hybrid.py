@@ -178,7 +178,7 @@ def periods_as_of(asked: DataFrame, vectors: DataFrame, forms: tuple[str, ...] |
     return held.select("question_id", "company", "fiscal_period", F.row_number().over(order).alias("place"))
 
 
-def vector_side(analysed: DataFrame, vectors: DataFrame, encode: Callable[[Column], Column], fetch: int, scoped: bool = True) -> DataFrame:
+def vector_side(analysed: DataFrame, vectors: DataFrame, encode: Callable[[Column], Column], fetch: int, scoped: bool = True, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """``(question_id, chunk_id, rank, topical)``: the vectors of every question, all its searches in one batch.
 
     ``vectors`` as :func:`retrieval.search` takes them; ``encode`` makes a vector of a text. Every search sees only what was available
@@ -186,7 +186,7 @@ def vector_side(analysed: DataFrame, vectors: DataFrame, encode: Callable[[Colum
     filings of the (at most two) companies of a question go first: by the section of each topic it touches (in the topic's form, in any
     where that has none), by the (at most two) periods it names or, if it asks for the latest, by the newest periodic report and the newest filing,
     and by company alone; then the search over everything. A vector counts where it stands first. Cut at ``fetch``, or
-    at the number of scoped hits if that is more.
+    at the number of scoped hits if that is more. ``keep`` settles the list of searches, which several steps read.
     """
     asked = analysed.where(~F.coalesce(F.col("unreadable"), F.lit(False))) if "unreadable" in analysed.columns else analysed
     text = F.lit(None).cast("string")
@@ -209,8 +209,8 @@ def vector_side(analysed: DataFrame, vectors: DataFrame, encode: Callable[[Colum
         topical = topical.withColumns({"fiscal_period": text, "k": F.lit(TOPIC_K), "o1": F.lit(0), "typed": F.col("document_type").isNotNull()})
         for part in (alone, timed, topical):
             plan = plan.unionByName(part.select(*cols))
-    plan = plan.withColumn("search_id", F.xxhash64("question_id", "o1", "o2", "o3", "typed"))
-    found = retrieval.search(vectors, plan.withColumn("q", encode(F.col("text"))))
+    plan = keep(plan.withColumn("search_id", F.xxhash64("question_id", "o1", "o2", "o3", "typed")).withColumn("q", encode(F.col("text"))))
+    found = retrieval.search(vectors, plan)
     hits = found.join(plan.select("search_id", "question_id", "o1", "o2", "o3", "typed"), "search_id")
     hits = hits.withColumn("typed_", F.max("typed").over(Window.partitionBy("question_id", "o1", "o2", "o3"))).where((F.col("o1") > 0) | (F.col("typed") == F.col("typed_")))
     hits = hits.withColumn("n_", F.count_if(F.col("o1") < 2).over(Window.partitionBy("question_id")))

@@ -266,7 +266,7 @@ def _kept(df: DataFrame) -> DataFrame:
 @query(f"WITH {_ANALYSED}, {_VECTOR_SQL} SELECT question_id, chunk_id, CAST(rank AS INTEGER) AS rank, topical FROM ve")
 def scoped_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vector side of every twentieth question: sections of its topics, its periods and companies first, then everything, each search at the question's own time."""
-    return hybrid.vector_side(_kept(_asked(spark, sf_dir)), _vectors(spark, sf_dir), _encode, 20)
+    return hybrid.vector_side(_kept(_asked(spark, sf_dir)), _vectors(spark, sf_dir), _encode, 20, keep=_kept)
 
 
 @query(_FUSED_SQL)
@@ -276,7 +276,7 @@ def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _edges(spark, sf_dir)
     graph = traversal.top_paths(asked, edges, 20, _nodes(spark, sf_dir), _kept).withColumn("edge_id", F.element_at("edge_ids", -1)).join(edges.select("edge_id", "chunk_id"), "edge_id")
     graph = graph.select("question_id", "evidence_id", "chunk_id", "rank")
-    vector = hybrid.vector_side(asked, _vectors(spark, sf_dir), _encode, 20)
+    vector = hybrid.vector_side(asked, _vectors(spark, sf_dir), _encode, 20, keep=_kept)
     return hybrid.fuse(vector, graph, limit=8).select("question_id", "evidence_id", "source_type", "score", "rank")
 
 
