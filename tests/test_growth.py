@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from asofworks.functions import text as T
 from asofworks.operators import analysis
 from asofworks.plans import catalogue
 
@@ -27,3 +28,10 @@ def test_linking_reads_questions_once(spark):
     linked = analysis.link_entities(q, terms)
     assert {r.question_id: r.entities for r in linked.collect()} == {1: ["company:NVDA", "company:TSM"], 2: [], 3: []}
     assert linked._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_paragraphs_keep_their_digits(spark):
+    """A paragraph is trimmed of blanks, not of the digits of its place."""
+    rows = spark.createDataFrame([("0997 | a 0\n 1219 b1 \n\n 2",)], "t string")
+    got = rows.select(T.paragraphs(F.col("t"), "\n").alias("p"), T.pack_paragraphs(F.col("t"), pattern="\n").alias("c")).first()
+    assert got.p == ["0997 | a 0", "1219 b1", "2"] and got.c == ["0997 | a 0\n\n1219 b1\n\n2"]
