@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from asofworks.functions import text as T
 from asofworks.operators import analysis
-from asofworks.plans import catalogue
+from asofworks.plans import catalogue, evidence
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,6 +21,10 @@ def test_questions_of_one_file_are_dealt_out(spark, name):
     assert tasks(catalogue.QUERIES[name](spark, SF)) > 2
 
 
+def test_gates_judge_questions_dealt_out(spark):
+    assert tasks(evidence.analysed(spark, SF)) > 2
+
+
 def test_linking_reads_questions_once(spark):
     """Pieces of a question come together in one grouping, not in joins of tables of all questions."""
     q = spark.createDataFrame([(1, "Does NVIDIA Corp supply TSMC?"), (2, None), (3, "Nothing")], "question_id int, question string")
