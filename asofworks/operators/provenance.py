@@ -50,8 +50,9 @@ def label_edges(edges: DataFrame, chunks: DataFrame, issuers: DataFrame, terms:
         asked = asked.join(held, end, "left").withColumn(f"{end}_terms", F.when(F.size(F.coalesce(f"{end}_terms", F.expr("cast(array() as array<string>)"))) > 0, F.col(f"{end}_terms")).otherwise(F.array(F.lower(bare(F.col(end))))))
     texts = chunks.where("chunk_id is not null").select(F.col("chunk_id").cast("string").alias("chunk_"), F.lower(F.coalesce("text", F.lit(""))).alias("low_"))
     met = asked.join(texts, "chunk_", "left").withColumn("low_", F.coalesce("low_", F.lit("")))
-    names = lambda terms_, phrases=("{}",): F.exists(terms_, lambda t: _any([F.col("low_").contains(_phrase(p, t)) for p in phrases]))
-    seen = met.groupBy("edge_id", "src", "dst", F.col("chunk_")).agg(F.max(names("src_terms")).alias("names_src"), F.max(names("src_terms", RISK_PHRASES)).alias("risk_src"), F.max(names("dst_terms") | (F.col("low_") == "")).alias("names_dst"))
+    # a phrase holds its term, so phrases are looked for only where the term is
+    names = lambda terms_, *phrases: F.exists(terms_, lambda t: F.when(F.col("low_").contains(t), _any([F.col("low_").contains(_phrase(p, t)) for p in phrases]) if phrases else F.lit(True)).otherwise(False))
+    seen = met.groupBy("edge_id", "src", "dst", F.col("chunk_")).agg(F.max(names("src_terms")).alias("names_src"), F.max(names("src_terms", *RISK_PHRASES)).alias("risk_src"), F.max(names("dst_terms") | (F.col("low_") == "")).alias("names_dst"))
     seen = seen.select(*[F.col(c).alias(f"{c}_s") for c in ("edge_id", "src", "dst", "chunk_")], "names_src", "risk_src", "names_dst")
     same = (F.col("edge_id") == F.col("edge_id_s")) & (F.col("src") == F.col("src_s")) & (F.col("dst") == F.col("dst_s")) & F.col("chunk_").eqNullSafe(F.col("chunk__s"))
     rows = rows.join(seen, same, "left")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from asofworks.functions import text as T
-from asofworks.operators import analysis
+from asofworks.operators import analysis, provenance
 from asofworks.plans import catalogue, evidence
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +39,14 @@ def test_paragraphs_keep_their_digits(spark):
     rows = spark.createDataFrame([("0997 | a 0\n 1219 b1 \n\n 2",)], "t string")
     got = rows.select(T.paragraphs(F.col("t"), "\n").alias("p"), T.pack_paragraphs(F.col("t"), pattern="\n").alias("c")).first()
     assert got.p == ["0997 | a 0", "1219 b1", "2"] and got.c == ["0997 | a 0\n\n1219 b1\n\n2"]
+
+
+def test_phrases_are_looked_for_only_where_their_term_is(spark):
+    """A text is not searched for eight phrases of a term that it lacks."""
+    edges = spark.createDataFrame([("e", "company:A", "company:B", "HAS_RISK", "doc:sec:1", "1")], "edge_id string, src string, dst string, relationship string, document_id string, chunk_id string")
+    chunks, issuers = spark.createDataFrame([("1", "alpha risk, beta")], "chunk_id string, text string"), spark.createDataFrame([("doc:sec:1", "C")], "document_id string, issuer string")
+    terms = spark.createDataFrame([("company:A", ["alpha"]), ("company:B", ["beta"])], "node_id string, terms array<string>")
+    got = provenance.label_edges(edges, chunks, issuers, terms)
+    assert got.first().attribution_status == "verified_cross_company"
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN Contains(low_" in plan
