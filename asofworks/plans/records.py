@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ids, records, time
 from ..functions import text as T
 from ..operators import build, evaluation, validation
+from ..operators.analysis import spread
 from .base import query, run, table
 
 _TEXT = "regexp_replace(regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '[ \t]+', ' ', 'g'), '\n{3,}', '\n\n', 'g'), '^\\s+|\\s+$', '', 'g')"
@@ -327,7 +328,8 @@ def best_config(spark: SparkSession, sf_dir: str) -> DataFrame:
        " o AS (SELECT *, max(p) FILTER (WHERE x = a) OVER (PARTITION BY p_partkey) AS po FROM p) SELECT p_partkey, ROUND(least(1.0, sum(p) FILTER (WHERE p <= po * (1 + 1e-7))), 5) AS p FROM o GROUP BY p_partkey")
 def fisher_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("p_size")
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(evaluation.fisher_exact(s % 9, s % 7 + 1, s % 5 + 1, s % 11), 5).alias("p"))
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
+    return rows.select("p_partkey", F.round(evaluation.fisher_exact(s % 9, s % 7 + 1, s % 5 + 1, s % 11), 5).alias("p"))
 
 
 _FOLDS = "SELECT user_id % 12 AS fold, event_type AS config, ROUND(avg(value), 3) AS v FROM events GROUP BY user_id % 12, event_type"

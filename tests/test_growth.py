@@ -15,7 +15,7 @@ def tasks(rows):
     return rows.select(F.spark_partition_id().alias("p")).distinct().count()
 
 
-@pytest.mark.parametrize("name", ["entity_linking", "link_entities", "question_analysis", "hop_depth", "question_type", "balanced_evidence", "periods_as_of"])
+@pytest.mark.parametrize("name", ["entity_linking", "link_entities", "question_analysis", "hop_depth", "question_type", "balanced_evidence", "periods_as_of", "fisher_exact"])
 def test_questions_of_one_file_are_dealt_out(spark, name):
     """One small file of short rows is no reason to analyse them all in one task."""
     assert tasks(catalogue.QUERIES[name](spark, SF)) > 2
