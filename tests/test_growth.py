@@ -50,3 +50,14 @@ def test_phrases_are_looked_for_only_where_their_term_is(spark):
     assert got.first().attribution_status == "verified_cross_company"
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "CASE WHEN Contains(low_" in plan
+
+
+def test_equal_questions_are_worked_out_once(spark):
+    """Customers ask few different questions: each text is analysed once, and every question gets what is said of its text."""
+    rows = [(1, "Does NVIDIA Corp supply TSMC?"), (2, None), (3, "="), (4, "Does NVIDIA Corp supply TSMC?"), (5, None), (6, "")]
+    q = spark.createDataFrame(rows, "question_id long, question string")
+    terms = spark.createDataFrame([("nvidia", "company:NVDA"), ("tsmc", "company:TSM")], "term string, node_id string")
+    seen = []
+    got = analysis.by_text(q, lambda texts: seen.append(texts) or analysis.analyse(texts, terms))
+    assert seen[0].count() == 4
+    assert {str(r) for r in got.collect()} == {str(r) for r in analysis.analyse(q, terms).select(got.columns).collect()}
