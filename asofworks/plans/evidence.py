@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..operators import features, gate, hybrid, pathmatch, provenance
+from ..operators import analysis, features, gate, hybrid, pathmatch, provenance
 from ..sources.sinks import settle
-from .base import QUERIES, SQL, query, run
+from .base import QUERIES, SQL, query, run, table
 from .questions import _ANALYSED, _VECTORS, NODES, analysed
 from .questions import _vectors as vectors
 
@@ -59,7 +59,8 @@ _EVIDENCE = """SELECT c_custkey AS question_id, r AS rank, 'e' || r AS evidence_
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = run(spark, sf_dir, _EVIDENCE.format(ts="TIMESTAMP_NTZ"))
+    asked = analysis.spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
+    rows = spark.sql(_EVIDENCE.format(ts="TIMESTAMP_NTZ").replace("FROM customer,", "FROM {customer} AS customer,"), customer=asked)
     edge = lambda k: F.when(F.col(f"r{k}").isNotNull(), F.struct(F.col(f"s{k}").alias("source"), F.col(f"r{k}").alias("relationship"), F.col(f"t{k}").alias("target")))
     return rows.withColumns({"graph_edges": F.array_compact(F.array(edge(1), edge(2))), "path": F.array_compact(F.array("s1", "t1", "t2"))}).drop("s1", "r1", "t1", "s2", "r2", "t2")
 
@@ -118,7 +119,7 @@ def _gate(name: str) -> None:
 
     def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
         nodes = run(spark, sf_dir, NODES).withColumn("aliases", F.expr("cast(null as array<string>)"))
-        got = gate.gate(settle(analysed(spark, sf_dir), "asked"), _evidence(spark, sf_dir), gate.entity_terms(nodes), entity, relationship, hop)
+        got = gate.gate(settle(analysed(spark, sf_dir), "asked"), settle(_evidence(spark, sf_dir), "evidence"), gate.entity_terms(nodes), entity, relationship, hop)
         return got.select("question_id", "reason", F.array_join("missing_entities", ",").alias("missing"), F.array_join("missing_relationships", ",").alias("missing_relationships"))
 
     QUERIES[name], SQL[name] = judged, _gate_sql(entity, relationship, hop)

@@ -61,3 +61,7 @@ def test_equal_questions_are_worked_out_once(spark):
     got = analysis.by_text(q, lambda texts: seen.append(texts) or analysis.analyse(texts, terms))
     assert seen[0].count() == 4
     assert {str(r) for r in got.collect()} == {str(r) for r in analysis.analyse(q, terms).select(got.columns).collect()}
+
+
+def test_evidence_of_one_file_is_dealt_out(spark):
+    assert tasks(evidence._evidence(spark, SF)) > 2
