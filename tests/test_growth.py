@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from asofworks.functions import text as T
 from asofworks.operators import analysis, provenance
-from asofworks.plans import catalogue, evidence
+from asofworks.plans import catalogue, evidence, questions
 
 SF = "/root/testdata/sf0.001"
 
@@ -65,3 +65,11 @@ def test_equal_questions_are_worked_out_once(spark):
 
 def test_evidence_of_one_file_is_dealt_out(spark):
     assert tasks(evidence._evidence(spark, SF)) > 2
+
+
+def test_equal_questions_are_searched_and_walked_once(spark):
+    """Work on the stated questions gets each text once, and its rows come back for every question."""
+    stated, seen = questions.questions(spark, SF).where("question_id % 20 = 0"), []
+    got = questions._each(spark, SF, lambda asked: seen.append(asked.count()) or asked.select("question_id", "entities"))
+    assert seen == [stated.select("question").distinct().count()]
+    assert sorted(r[0] for r in got.select("question_id").collect()) == sorted(r[0] for r in stated.select("question_id").collect())
