@@ -29,7 +29,8 @@ def neighbours(edges: DataFrame, node: Column) -> DataFrame:
 
 def degrees(edges: DataFrame) -> DataFrame:
     """``(node_id, out_degree, in_degree, degree)``; a self loop counts on both sides."""
-    ends = edges.select(F.col("src").alias("node_id"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("dst", F.lit(0), F.lit(1)))
+    end = lambda c, o, i: F.struct(F.col(c).alias("node_id"), F.lit(o).alias("o"), F.lit(i).alias("i"))
+    ends = edges.select(F.inline(F.array(end("src", 1, 0), end("dst", 0, 1))))  # both ends in one pass over the edges
     return ends.groupBy("node_id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"), F.count("*").alias("degree"))
 
 

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from asofworks.functions import text as T
-from asofworks.operators import analysis, provenance
-from asofworks.plans import catalogue, evidence, questions
+from asofworks.operators import analysis, asof, provenance
+from asofworks.plans import catalogue, evidence, graph, questions
 
 SF = "/root/testdata/sf0.001"
 
@@ -73,3 +73,14 @@ def test_equal_questions_are_searched_and_walked_once(spark):
     got = questions._each(spark, SF, lambda asked: seen.append(asked.count()) or asked.select("question_id", "entities"))
     assert seen == [stated.select("question").distinct().count()]
     assert sorted(r[0] for r in got.select("question_id").collect()) == sorted(r[0] for r in stated.select("question_id").collect())
+
+
+def test_degrees_are_dealt_by_the_number_of_lines(spark, monkeypatch):
+    """Short rows are not gathered by their bytes, and both ends of an edge are taken in one pass."""
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("c", "c")], "src string, dst string")
+    got = asof.degrees(edges)
+    assert {tuple(r) for r in got.collect()} == {("a", 2, 0, 2), ("b", 0, 1, 1), ("c", 1, 2, 3)}
+    assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(graph, "LINES", 100)
+    n = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 100)
+    assert f"], {n}" in catalogue.QUERIES["node_degree"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
