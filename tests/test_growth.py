@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from asofworks.functions import text as T
 from asofworks.operators import analysis, asof, provenance
 from asofworks.plans import catalogue, evidence, graph, questions
+from asofworks.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
 
@@ -84,3 +85,51 @@ def test_degrees_are_dealt_by_the_number_of_lines(spark, monkeypatch):
     monkeypatch.setattr(graph, "LINES", 100)
     n = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 100)
     assert f"], {n}" in catalogue.QUERIES["node_degree"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def shuffled(spark):
+    """Bytes that all tasks so far wrote to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    held = sc.statusStore().executorList(False)
+    return sum(held.apply(i).totalShuffleWrite() for i in range(held.size()))
+
+
+def ingested(spark, batch, folder):
+    ingest.ingest_batch(batch, 0, folder)
+    return {r.doc_id: (r.status, r.n_chunks) for r in ingest.manifest(spark, folder).collect()}
+
+
+def test_ingested_texts_stay_where_they_lie(spark, tmp_path):
+    """Only ids are shuffled, and the texts of repeated ids; not the texts that come once."""
+    noise = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.sha2(F.concat_ws("-", "id", i).cast("binary"), 256)), "")
+    spark.range(400, numPartitions=8).select(F.col("id").alias("doc_id"), noise.alias("text")).write.parquet(str(tmp_path / "in"))
+    docs = spark.read.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
+    batch = docs.union(docs.where("doc_id in (3, 4, 5)").withColumn("text", F.when(F.col("doc_id") < 5, F.substring("text", 1, 9))))
+    before = shuffled(spark)
+    assert ingested(spark, batch, str(tmp_path / "out")) == {i: ("completed", 1 if i in (3, 4) else 4) for i in range(400)}
+    assert shuffled(spark) - before < 400 * 6400 / 10
+
+
+@pytest.mark.parametrize("apart", [0, 2**20])
+def test_ingestion_takes_the_least_text_that_is_there(spark, tmp_path, monkeypatch, apart):
+    """As in SQL, a null is no text; the same whether few ids are repeated or too many to be sent around."""
+    monkeypatch.setattr(ingest, "APART", apart)
+    rows = [(1, None), (1, "b" * 2000), (1, "c"), (2, None), (2, None), (3, ""), (3, "x"), (4, "y"), (None, "z"), (5, None), (6, "k"), (6, "k")]
+    batch = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ingested(spark, batch, str(tmp_path)) == {1: ("completed", 2), 2: ("failed", 0), 3: ("failed", 0), 4: ("completed", 1), 5: ("failed", 0), 6: ("completed", 1)}
+    ingest.ingest_batch(spark.createDataFrame([(1, "a"), (2, "b"), (2, "a"), (4, "w"), (4, "v"), (7, None)], "doc_id long, text string"), 1, str(tmp_path))
+    assert sorted((r.doc_id, r.chunk_index, r.text[0], len(r.text)) for r in ingest.chunks(spark, str(tmp_path)).collect()) == [(1, 0, "b", 1800), (1, 1, "b", 450), (2, 0, "a", 1), (4, 0, "y", 1), (6, 0, "k", 1)]
+    assert {r.doc_id: r.status for r in ingest.manifest(spark, str(tmp_path)).collect()} == {1: "completed", 2: "completed", 3: "failed", 4: "completed", 5: "failed", 6: "completed", 7: "failed"}
+
+
+def test_texts_of_one_part_are_dealt_out(spark, tmp_path):
+    """A file with one large row group is read by one task, but not cut by one."""
+    batch = spark.range(40, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few texts would be put together again
+    try:
+        ingest.ingest_batch(batch, 0, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "chunks" / "batch_id=0").glob("part-*"))) > 2
+    assert ingest.chunks(spark, str(tmp_path)).count() == 40 * 4
