@@ -119,7 +119,7 @@ def _gate(name: str) -> None:
 
     def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
         nodes = run(spark, sf_dir, NODES).withColumn("aliases", F.expr("cast(null as array<string>)"))
-        got = gate.gate(settle(analysed(spark, sf_dir), "asked"), settle(_evidence(spark, sf_dir), "evidence"), gate.entity_terms(nodes), entity, relationship, hop)
+        got = gate.gate(settle(analysed(spark, sf_dir), "asked"), settle(_evidence(spark, sf_dir), "evidence"), gate.entity_terms(nodes), entity, relationship, hop, keep=lambda df: settle(df, "edges"))
         return got.select("question_id", "reason", F.array_join("missing_entities", ",").alias("missing"), F.array_join("missing_relationships", ",").alias("missing_relationships"))
 
     QUERIES[name], SQL[name] = judged, _gate_sql(entity, relationship, hop)

@@ -87,6 +87,27 @@ def test_degrees_are_dealt_by_the_number_of_lines(spark, monkeypatch):
     assert f"], {n}" in catalogue.QUERIES["node_degree"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def through_driver(rows):
+    """The joins of a result, as it was run, that sent one side whole through the driver."""
+    rows.collect()
+    return [line for line in rows._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
+
+
+def test_questions_are_not_sent_through_the_driver(spark):
+    """Small files of many short rows look small; only the terms of nodes may be sent whole."""
+    q = spark.createDataFrame([(1, "Does NVIDIA Corp supply TSMC?"), (2, None), (3, "Does NVIDIA Corp supply TSMC?")], "question_id long, question string")
+    assert through_driver(analysis.by_text(q, lambda texts: texts)) == []
+    for name in ("gate_hops_only", "gate_strict"):
+        sent = through_driver(catalogue.QUERIES[name](spark, SF))
+        assert not [line for line in sent if "[node_" not in line]
+
+
+def test_edges_of_chains_are_worked_out_once(spark):
+    """Eight steps read them: what they are made of is not in the judgement's plan."""
+    plan = catalogue.QUERIES["gate_hops_only"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan
+
+
 def shuffled(spark):
     """Bytes that all tasks so far wrote to shuffles."""
     sc = spark.sparkContext._jsc.sc()
